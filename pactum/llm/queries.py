@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import bpe, near_dedup, quality, token_counts, token_files
+from pactum.llm import bpe, near_dedup, quality, substring_dedup, token_counts, token_files
 from pactum.llm.shared import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,7 +39,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_quality, op5_token_counts, op6_near_dedup)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_quality, op5_token_counts, op6_near_dedup, op8_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op6_near_dedup": """
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -51,4 +55,14 @@ ORACLE_SQL: dict[str, str] = {
         r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT doc_id, coalesce(c, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
         FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)""",
+    "op8_substring_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+        m AS (SELECT g, min(doc_id) AS m FROM g GROUP BY g),
+        c AS (SELECT DISTINCT doc_id, i + j AS i FROM g JOIN m USING (g), range(13) AS r(j) WHERE doc_id > m),
+        k AS (SELECT w.doc_id, w.w[u.i] AS word, u.i AS i, c.i IS NOT NULL AS gone
+              FROM w, LATERAL (SELECT unnest(range(1, len(w.w) + 1)) AS i) u LEFT JOIN c ON c.doc_id = w.doc_id AND c.i = u.i)
+        SELECT w.doc_id, len(w.w) AS n_words, count(k.i) FILTER (gone) AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY k.i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM w LEFT JOIN k ON w.doc_id = k.doc_id GROUP BY w.doc_id, len(w.w)""",
 }
