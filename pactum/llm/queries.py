@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import bpe, near_dedup, quality, substring_dedup, token_counts, token_files
+from pactum.llm import bpe, fingerprints, mixing, near_dedup, quality, substring_dedup, token_counts, token_files, warc
 from pactum.llm.shared import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,11 +39,23 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_quality, op5_token_counts, op6_near_dedup, op8_substring_dedup)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_warc(spark, warc.write_warc(table(spark, sf_dir, "pages"), shared_dir(spark)))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_test(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_quality, op5_token_counts, op6_near_dedup, op7_mixing, op8_substring_dedup, op9_warc, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {
     "op6_near_dedup": """
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -65,4 +77,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, len(w.w) AS n_words, count(k.i) FILTER (gone) AS n_removed,
                sha256(coalesce(string_agg(word, ' ' ORDER BY k.i) FILTER (NOT gone), '')) AS kept_sha256
         FROM w LEFT JOIN k ON w.doc_id = k.doc_id GROUP BY w.doc_id, len(w.w)""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        m AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND m > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND m > page_id THEN m END AS refers_to
+        FROM p LEFT JOIN m USING (d)""",
 }
