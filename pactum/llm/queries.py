@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import bpe, fingerprints, mixing, near_dedup, quality, substring_dedup, token_counts, token_files, warc
+from pactum.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, token_files, warc
 from pactum.llm.shared import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -55,7 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_test(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_quality, op5_token_counts, op6_near_dedup, op7_mixing, op8_substring_dedup, op9_warc, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_line_dedup, op4_quality, op5_token_counts, op6_near_dedup, op7_mixing, op8_substring_dedup, op9_warc, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {
     "op6_near_dedup": """
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
