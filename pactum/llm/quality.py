@@ -178,3 +178,20 @@ def rate(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, good: f
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{c} long' for c in names)}, base_failed boolean, kept boolean, probability double")
+
+
+def kept(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, good: float = GOOD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the rules and the model keep. No join and no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for i, j, data, offsets in pieces(batch.column(at)):
+                good_rows = ~base_failed(base_counts(data, offsets))
+                if model is not None:
+                    good_rows &= 1 / (1 + np.exp(-np.clip(model[1] * scores(data, offsets, model[0]) + model[2], -30, 30))) >= good
+                yield batch.slice(i, j - i).filter(pa.array(good_rows))
+
+    return docs.mapInArrow(run, docs.schema)
