@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "paragraph_clauses"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pactum.plans import contracts, texts
+
+FLAGSHIP = "contract_risk"
+QUERIES: dict = {**contracts.QUERIES, **texts.QUERIES}
+ORACLE_SQL: dict[str, str] = {**contracts.ORACLE_SQL, **texts.ORACLE_SQL}
