@@ -250,3 +250,14 @@ ORACLE_SQL = {
         SELECT l_suppkey, score, CASE WHEN score = 0 THEN 'safe' WHEN score <= 25 THEN 'caution' WHEN score <= 60 THEN 'warning' ELSE 'danger' END AS grade FROM n""",
     "worst_by_key": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, ts, event_id) AS k FROM events) WHERE k = 1",
 }
+
+
+def language_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated language of each document's first sentence: no SQL, the model is fitted."""
+    from pactum.operators import classifier
+
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("text"), F.col("lang").alias("label"))
+    return classifier.cross_validated(d, terms=3000, iterations=10).select(F.col("key").alias("doc_id"), "label", "fold", "predicted", F.round("confidence", 3).alias("confidence"))
+
+
+QUERIES["language_classifier"] = language_classifier
