@@ -150,3 +150,15 @@ def sentence_around_first(text: Column, pattern: str) -> Column:
     before = F.regexp_extract(text, java(rf"(?s)^(.*?)(?:{pattern})"), 1)
     after = F.substring(text, F.length(before) + 1, F.length(text))
     return F.when(matches(text, pattern), F.concat(F.regexp_extract(before, r"[^.\n]*$", 0), F.regexp_extract(after, r"^[^.\n]*[.\n]?", 0)))
+
+
+def reading_score(text: Column, terms: list[str], wanted: str = "가-힣", all_letters: str = "가-힣a-zA-Z一-鿿") -> Column:
+    """How well a text was recognised: half for wanted letters, the rest for known terms and for length."""
+    letters = F.regexp_count(text, F.lit(f"[{all_letters}]"))
+    known = F.least(F.size(term_hits(text, terms)) / F.lit(6.0), F.lit(1.0))
+    return 0.5 * letter_ratio(text, wanted, all_letters) + 0.35 * known + 0.15 * F.least(letters / F.lit(300.0), F.lit(1.0))
+
+
+def plain_law_sentences(text: Column) -> Column:
+    """Sentences of a law that serve as examples of nothing wrong: 15 to 120 characters, and no exceptions."""
+    return F.filter(law_sentences(text), lambda s: F.length(s).between(15, 120) & ~s.startswith("다만"))

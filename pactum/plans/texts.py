@@ -175,7 +175,23 @@ def worst_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").withColumn("k", F.row_number().over(order)).where("k = 1").select("user_id", "event_id", "event_type")
 
 
-QUERIES = {f.__name__: f for f in (cleaned_texts, page_words, tidy_tables, quote_forms, paragraph_clauses, input_reasons, letter_shares, best_engine, mail_spans, mail_masked, bm25_top, term_frequencies, citations, label_scores, label_folds, tiers, event_islands, page_texts, column_texts, hidden_words, risk_bands, worst_by_key)}
+def reading_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each document reads, by letters, terms and length."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(T.reading_score(F.col("text"), TERMS, LATIN, LETTERS), 6).alias("score"))
+
+
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that follow a capitalised one in their row."""
+    words = layout.with_offsets(_words(spark, sf_dir), ["item_id"])
+    return layout.after_label(words, ["item_id"], "^[A-Z]").groupBy("item_id").agg(F.count("*").alias("n"), F.count_if("hidden").alias("n_hidden"))
+
+
+def partly_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with the lighter mask, as hash."""
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(masking.partly_masked(F.coalesce("text", F.lit(""))), 256).alias("sha256"))
+
+
+QUERIES = {f.__name__: f for f in (reading_scores, flagged_rows, partly_masked, cleaned_texts, page_words, tidy_tables, quote_forms, paragraph_clauses, input_reasons, letter_shares, best_engine, mail_spans, mail_masked, bm25_top, term_frequencies, citations, label_scores, label_folds, tiers, event_islands, page_texts, column_texts, hidden_words, risk_bands, worst_by_key)}
 
 _SP = "[ \\t\\n\\r\\f\\v]"
 _CLEAN = f"regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '　', ' '), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_SP}+|{_SP}+$', '', 'g')"
@@ -194,6 +210,11 @@ def _count(pattern: str, column: str = "text") -> str:
 
 
 ORACLE_SQL = {
+    "reading_scores": f"""WITH a AS (SELECT doc_id, {_count('[a-zA-ZÀ-ɏ]')} AS l, coalesce({_count('[a-zA-Z]')} / nullif({_count('[a-zA-ZÀ-ɏ]')}, 0), 0) AS r, {_HITS.replace("contains(t,", "contains(text,")} AS h FROM documents)
+        SELECT doc_id, round(0.5 * r + 0.35 * least(h / 6.0::DOUBLE, 1) + 0.15 * least(l / 300.0::DOUBLE, 1), 6) AS score FROM a""",
+    "flagged_rows": f"""WITH {_WORDS}, h AS (SELECT item_id, coalesce(max(CAST(regexp_matches(text, '^[A-Z]') AS INT)) OVER (PARTITION BY item_id, r ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM words)
+        SELECT item_id, count(*) AS n, count(*) FILTER (h = 1) AS n_hidden FROM h GROUP BY item_id""",
+    "partly_masked": """SELECT conv_id, turn, sha256(regexp_replace(coalesce(text, ''), '([A-Za-z0-9_.+-]{1,3})[A-Za-z0-9_.+-]*@([A-Za-z0-9_-]+[.][A-Za-z0-9_.]+)', '\\1***@\\2', 'g')) AS sha256 FROM conversations""",
     "cleaned_texts": f"SELECT doc_id, CAST(length({_CLEAN}) AS INT) AS n_chars, sha256({_CLEAN}) AS sha256 FROM documents",
     "page_words": f"SELECT page_id, CAST(length({_TAGS}) AS INT) AS n_chars, CAST(len(string_split({_TAGS}, ' ')) AS INT) AS n_words, sha256({_TAGS}) AS sha256 FROM pages",
     "tidy_tables": f"SELECT doc_id, CAST(length({_TIDY}) AS INT) AS n_chars, sha256({_TIDY}) AS sha256 FROM documents",

@@ -81,3 +81,23 @@ def test_classifier_learns(spark):
     d = spark.createDataFrame(rows, "key int, text string, label string")
     out = classifier.cross_validated(d, 3, 500, 10).collect()
     assert len(out) == 24 and sum(r.predicted == r.label for r in out) >= 22
+
+
+def test_judge_with_scripted_replies(spark):
+    laws = spark.createDataFrame([("L1", "사용자는 임금을 매월 1회 이상 지급하여야 한다.", 0), ("L2", "해고는 서면으로 통지하여야 한다.", 1), ("L3", "휴일은 매주 하루 이상 준다.", 2)], "id string, text string, pos int")
+    index = retrieval.bm25_index(laws.select(F.col("id").alias("law_id"), "pos", F.col("text").alias("body")))
+    clauses = spark.createDataFrame([(1, 1, "임금을 매월 지급하지 않는다"), (1, 2, "해고를 전화로 통지한다"), (1, 3, "휴일은 매주 없다"), (2, 1, "zzz")], "doc_id int, clause_seq int, text string")
+
+    def judge(text, some):
+        if "해고" in text:
+            raise TimeoutError("no answer")
+        if "휴일" in text:
+            return '{"severity": "violation", "law_id": "L3", "quote": "휴일은 매주 사흘 이상 주어야 한다", "reason": "r"}'
+        return '{"severity": "violation", "law_id": "L1", "quote": "임금을 매월 1회 이상 지급하여야", "reason": "r"}'
+
+    from pactum.operators import judging
+
+    got = judging.ask(clauses, index, laws, judge)
+    assert {(r.doc_id, r.clause_seq, r.severity, r.gate_passed, r.error is None) for r in got.collect()} == {(1, 1, "violation", True, True), (1, 2, "ok", True, False), (1, 3, "ok", False, True)}
+    assert [r.claimed_law_id for r in judging.quarantined(got).collect()] == ["L3"]
+    assert {r.severity for r in judging.ask(clauses, index, laws).collect()} == {"ok"}
