@@ -7,7 +7,8 @@ With a similarity of 0.75, each of the K smallest hashes of the union of two doc
 0.75, so at least NEED of K = 40 are, but for a chance of 1e-7. Hence a sketch's NEED - 1 most frequent
 values need no list: two similar documents still share one of the others. That keeps passages shared by many
 documents out of the lists. Documents with equal sets are one class throughout. In a list of over HOT classes all
-are compared with one of them at first; what that leaves unconnected is compared with the list's other components.
+are compared with one of them at first; what that leaves outside the list's main component is compared with the rest
+in blocks.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.buffers import GOLDEN, MIX2, U64, gram_rows, grams, lower_ascii, mix, owners, pieces, span_hashes, words
+from pactum.llm.buffers import GOLDEN, MIX2, U64, gram_rows, grams, lower_ascii, mix, owners, pieces, ranges, span_hashes, words
 from pactum.llm.components import components
 from pactum.llm.shared import stored
 
-SHINGLE, PERCENT, K, NEED, HOT = 5, 75, 40, 15, 32
+SHINGLE, PERCENT, K, NEED, HOT, BLOCK = 5, 75, 40, 15, 8, 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +103,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "a long, b long").distinct()
 
 
+def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) in families (family, class, component) between the classes outside the family's main component (its id)
+    and all classes of other components.
+
+    Both sides are cut into blocks of BLOCK; a task has one block of each and returns the links that full sets confirm.
+    """
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("wide"), F.ceil(F.count_if(F.col("component") != F.col("family")) / BLOCK).cast("int").alias("high"))
+    texts = docs.select(F.col("doc_id").alias("class"), "text")
+    rows = stored(members.join(sizes, "family").join(texts, "class"))
+    at = F.xxhash64("class")
+    left = rows.where(F.col("component") != F.col("family")).withColumn("row", F.pmod(at, "high")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    right = rows.withColumn("column", F.pmod(at, "wide")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("high") - 1)))
+    columns = ["family", F.col("row").cast("int").alias("row"), F.col("column").cast("int").alias("column"), "class", "component", "text"]
+    both = left.select(F.lit(True).alias("asks"), *columns).union(right.select(F.lit(False), *columns))
+
+    def compare(group: pa.Table) -> pa.Table:
+        asks, node, part = (group[c].to_numpy() for c in ("asks", "class", "component"))
+        values, first = [], np.zeros(len(node) + 1, np.int64)
+        for i, j, data, offsets in pieces(pa.concat_arrays([c.cast(pa.large_string()) for c in group["text"].chunks])):
+            own, value = shingle_sets(data, offsets)
+            first[i + 1 : j + 1] = np.bincount(own, minlength=j - i)
+            values.append(value)
+        size = first[1:].copy()
+        first, values = np.cumsum(first), np.concatenate(values)
+        held = np.flatnonzero(~asks)
+        body = values[ranges(first[held], size[held])]
+        owner = np.repeat(np.arange(len(held)), size[held])
+        low = np.minimum(size[held], K)
+        sketch, sketch_owner = values[ranges(first[held], low)], np.repeat(np.arange(len(held)), low)
+        a, b = [], []
+        for x in np.flatnonzero(asks):
+            mine = values[first[x] : first[x + 1]]
+            n = len(mine)
+            fits = (part[held] != part[x]) & (100 * size[held] >= PERCENT * n) & (100 * n >= PERCENT * size[held])
+            top = mine[:K]
+            near = np.bincount(sketch_owner, top[np.minimum(np.searchsorted(top, sketch), len(top) - 1)] == sketch, minlength=len(held))
+            fits &= near * K >= NEED * np.minimum(low, len(top))
+            if fits.any():
+                some = fits[owner]
+                v = body[some]
+                common = np.bincount(owner[some], mine[np.minimum(np.searchsorted(mine, v), n - 1)] == v, minlength=len(held))
+                linked = node[held[fits & (100 * common >= PERCENT * (n + size[held] - common))]]
+                a.append(np.full(len(linked), node[x]))
+                b.append(linked)
+        return pa.table([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in (a, b)], names=["a", "b"])
+
+    return stored(both.groupBy("family", "row", "column").applyInArrow(compare, "a long, b long").distinct())
+
+
 def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to connect what all of them connect.
 
@@ -110,39 +160,33 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = classes.select("class", "n", F.explode("sketch").alias("value"))
     frequent = rows.groupBy("value").count().where("count > 1")
     shared = rows.join(frequent, "value")
-    # most frequent first, as many as a full sketch can spare
+    # The most frequent values need no list, as many as a similar document's sketch is sure to share but one. A smaller set is
+    # its own sketch; a similar one has 3/4 of it, of which at most K / 3 lie beyond a sketch.
     order = Window.partitionBy("class").orderBy(F.desc("count"), F.desc("value"))
-    listed = shared.withColumn("place", F.row_number().over(order)).where((F.col("n") < K) | (F.col("place") >= NEED)).select("value", "class", "n", "count")
-    listed = stored(listed)
-    sketches = stored(classes.select("class", "n", "sketch"))
+    spare = F.when(F.col("n") >= K, NEED - 1).otherwise(F.least(F.ceil(F.col("n") * 0.75), F.lit(2 * K // 3)) - 1)
+    ranked = shared.withColumn("place", F.row_number().over(order)).withColumn("known", F.sum("count").over(Window.partitionBy("class")))
+    listed = stored(ranked.where(F.col("place") > spare).select("value", "class", "n", "known"))
+    size = listed.groupBy("value").agg(F.count("*").alias("size"), F.max(F.struct("known", -F.col("class")))["col2"].alias("centre"))
+    listed = stored(listed.join(size.where("size > 1"), "value").select("value", "class", "n", "size", (-F.col("centre")).alias("centre")))
+    sketches = classes.select("class", "n", "sketch")
     one, two = (sketches.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        likely = _likely(pairs.select("a", "b").join(one, "a").join(two, "b"))
-        return stored(_confirmed(stored(likely.select("a", "b")), docs))
-
-    cold = listed.where(F.col("count") <= HOT)
+    cold = listed.where(F.col("size") <= HOT)
     left, right = (cold.select("value", F.col("class").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    within = left.join(right, "value").where((F.col("a") < F.col("b")) & _sizes_fit("na", "nb")).select("a", "b").distinct()
-    hot = listed.where(F.col("count") > HOT)
-    centre = hot.groupBy("value").agg(F.min("class").alias("a"))
-    stars = hot.join(centre, "value").where("a < class").select("a", F.col("class").alias("b")).distinct()
-    links = checked(within.union(stars).distinct())
+    within = left.join(right, "value").where((F.col("a") < F.col("b")) & _sizes_fit("na", "nb")).select("a", "b")
+    # in a hot list: those compared with the one whose values are the most frequent, likely the original of copies
+    hot = listed.where(F.col("size") > HOT)
+    stars = hot.where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"))
+    likely = _likely(within.union(stars).distinct().join(one, "a").join(two, "b"))
+    links = stored(_confirmed(stored(likely.select("a", "b")), docs))
     if hot.isEmpty():
         return links
-    # what is still apart in a hot list: the components other than its largest, each against all others
     found = components(links)
-    placed = hot.join(found, F.col("class") == F.col("node"), "left").select("value", "class", F.coalesce("component", "class").alias("component"))
+    placed = hot.select("value", "class").join(found, F.col("class") == F.col("node"), "left").select("value", "class", F.coalesce("component", "class").alias("component"))
     parts = placed.groupBy("value", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("value").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("value", "main")
-    apart = placed.join(main, "value")
-    rest = apart.where("component <> main").join(sketches, "class").select("value", F.col("class").alias("x"), F.col("component").alias("cx"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    whole = apart.join(sketches, "class").select("value", F.col("class").alias("y"), F.col("component").alias("cy"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    least = F.least(F.lit(K), F.size("sa"), F.size("sb"))
-    crossed = rest.join(whole, (rest.value == whole.value) & (F.col("cx") != F.col("cy")) & _sizes_fit("na", "nb") & (common * K >= NEED * least))
-    more = checked(crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return links.union(more)
+    main = parts.groupBy("value").agg(F.max(F.struct("size", "component"))["component"].alias("family"), F.count("*").alias("parts")).where("parts > 1").select("value", "family")
+    # lists of one main component are one family, so a pair is compared once
+    members = placed.join(main, "value").select("family", "class", "component").distinct()
+    return links.union(_across(members, docs))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
