@@ -1,8 +1,8 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
 Lines are normalised (lower case, runs of anything but letters and numbers become one space) and identified by
-the 64-bit hash of that form. The SimHash of a line has a bit for each of 64 positions in which most of its words'
-hashes have one. Lines whose SimHashes differ in at most DISTANCE bits agree in two of five blocks of bits, so they
+the 64-bit hash of that form. The SimHash of a line has a bit for each of 64 positions in which most of its longer
+words' hashes have one; short words, which all lines share, would draw unlike lines together. Lines whose SimHashes differ in at most DISTANCE bits agree in two of five blocks of bits, so they
 meet in one of ten tables keyed by two blocks. Pairs that do are links if their edit similarity is SIMILAR or
 more; of each connected group of lines one occurrence stays, the first by document and line.
 """
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pactum.llm.components import components
 from pactum.llm.shared import stored
 
-DISTANCE, SIMILAR, HOT = 3, 0.9, 32
+DISTANCE, SIMILAR, HOT = 3, 0.9, 8
+#: Letters of the words that count for the SimHash; rows of 8 bytes that are broadcast at most.
+LETTERS, BROADCAST = 4, 1_000_000
 #: The five blocks of the SimHash: (first bit, bits).
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -37,10 +39,10 @@ def sim_hashes(lines: DataFrame) -> DataFrame:
 
     A line's words are counted in 32 sums of two 32-bit lanes. Occurrences of a line all add the same, so its
     majorities don't depend on how often it occurs, and no shuffle of texts is needed: sums are formed before the
-    shuffle. (Beyond 2^32 words in all occurrences of one line its lanes run over, and it finds no fuzzy links.)
+    shuffle. A line without a word of LETTERS letters has none and repeats others only exactly. (Beyond 2^32 words in all occurrences of one line its lanes run over, and it finds no fuzzy links.)
     """
     lane = 0x0000000100000001
-    words = lines.select("line", F.explode(F.split("norm", " ")).alias("word")).select("line", F.xxhash64("word").alias("h"))
+    words = lines.select("line", F.explode(F.split("norm", " ")).alias("word")).where(F.length("word") >= LETTERS).select("line", F.xxhash64("word").alias("h"))
     sums = words.groupBy("line").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(lane))).alias(f"s{k}") for k in range(32)))
     low, high = F.lit(0).cast("long"), F.lit(0).cast("long")
     for k in range(32):
@@ -62,22 +64,20 @@ def _near(a: str, b: str) -> Column:
 def line_links(lines: DataFrame) -> DataFrame:
     """Links (a, b) between the lines of (line, norm), enough of them to connect what all connect.
 
-    In a bucket of over HOT lines all are compared with its first; lines that stay in other components than the bucket's
-    largest are then compared with all of the bucket.
+    In a bucket of over HOT lines all are compared with its first; lines that stay outside its largest component are then
+    compared with all of the bucket. Buckets with one main component are one family, so a pair is compared once.
     """
     sims = stored(sim_hashes(lines))
     keys = sims.select("line", F.explode(F.array(*block_keys(F.col("sim")))).alias("key"))
     bucket = Window.partitionBy("key")
-    met = keys.select("key", "line", F.count("*").over(bucket).alias("size"), F.min("line").over(bucket).alias("head")).where("size > 1")
-    met = stored(met.join(sims, "line"))
+    met = stored(keys.select("key", "line", F.count("*").over(bucket).alias("size"), F.min("line").over(bucket).alias("head")).where("size > 1"))
+    met = stored(_few(sims, met.select("line").distinct()).join(met, "line"))
     cold, hot = met.where(F.col("size") <= HOT), met.where(F.col("size") > HOT)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct())
-        if pairs.isEmpty():
-            return pairs
         ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-        texts = stored(lines.join(ends, "line").groupBy("line").agg(F.min("norm").alias("norm")))
+        texts = stored(_few(lines, stored(ends)).dropDuplicates(["line"]))
         both = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
         longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
         most = f"cast(floor({1 - SIMILAR:.4f} * greatest(length(x), length(y)) + 1e-9) as int)"
@@ -85,28 +85,33 @@ def line_links(lines: DataFrame) -> DataFrame:
 
     x, y = (cold.select("key", F.col("line").alias(c), F.col("sim").alias(f"s{c}")) for c in "ab")
     within = x.join(y, "key").where((F.col("a") < F.col("b")) & _near("sa", "sb")).select("a", "b")
-    heads = sims.select(F.col("line").alias("head"), F.col("sim").alias("head_sim"))
-    stars = hot.where("line <> head").join(heads, "head").where(_near("sim", "head_sim")).select(F.col("head").alias("a"), F.col("line").alias("b"))
+    heads = hot.where("line = head").select("key", F.col("sim").alias("head_sim"))
+    stars = hot.where("line <> head").join(heads, "key").where(_near("sim", "head_sim")).select(F.col("head").alias("a"), F.col("line").alias("b"))
     links = confirmed(within.union(stars))
     if hot.isEmpty():
         return links
     found = components(links)
     placed = hot.join(found, F.col("line") == F.col("node"), "left").select("key", "line", "sim", F.coalesce("component", "line").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    apart = placed.join(main, "key")
-    rest = apart.where("component <> main").select("key", F.col("line").alias("u"), F.col("component").alias("cu"), F.col("sim").alias("su"))
-    whole = apart.select("key", F.col("line").alias("v"), F.col("component").alias("cv"), F.col("sim").alias("sv"))
-    crossed = rest.join(whole, "key").where((F.col("cu") != F.col("cv")) & _near("su", "sv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    main = parts.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("family"), F.count("*").alias("parts")).where("parts > 1").select("key", "family")
+    members = placed.join(main, "key").select("family", "line", "sim", "component").distinct()
+    rest = members.where("component <> family").select("family", F.col("line").alias("u"), F.col("component").alias("cu"), F.col("sim").alias("su"))
+    whole = members.select("family", F.col("line").alias("v"), F.col("component").alias("cv"), F.col("sim").alias("sv"))
+    crossed = rest.join(whole, "family").where((F.col("cu") != F.col("cv")) & _near("su", "sv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     return links.union(confirmed(crossed))
 
 
+def _few(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose line is wanted (line, all different): a broadcast if those are few, else a join that shuffles."""
+    wanted = wanted if wanted.limit(BROADCAST + 1).count() > BROADCAST else F.broadcast(wanted)
+    return rows.join(wanted, "line", "left_semi")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, gone): for each document that loses lines, their numbers from 0. tie is the hash of its text."""
-    lines = _rows(docs).withColumn("line", F.xxhash64("norm"))
-    links = line_links(lines.select("line", "norm"))
-    group = components(links)
-    places = stored(lines.select("line", F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "line_no"))
+    lines = stored(_rows(docs).select(F.xxhash64("norm").alias("line"), F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "line_no", "norm"))
+    group = components(line_links(lines.select("line", "norm")))
+    places = lines.drop("norm")
     first = places.groupBy("line").agg(F.min(F.struct("last", "doc_id", "tie", "line_no")).alias("first"), F.count("*").alias("n"))
     grouped = first.join(group, F.col("line") == F.col("node"), "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"))
     kept = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("component", "kept")
