@@ -95,8 +95,10 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def fly_and_land(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A source's last block: a few entries are kept out of the flight, so that the landing can come close."""
-    kept = np.flatnonzero((p > EPS) & (p < 1 - EPS))[-RESERVE:]
+    """A source's last block: a few entries of all sizes are kept out of the flight, so that the landing can come close."""
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    by_size = open_[np.argsort(size[open_], kind="stable")]
+    kept = np.unique(by_size[np.linspace(0, len(by_size) - 1, RESERVE).astype(int)]) if len(by_size) else by_size
     rest = p.copy()
     rest[kept] = 0
     rest = fly(rest, size, rng)
