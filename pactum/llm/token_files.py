@@ -7,6 +7,7 @@ reader looking for some documents skips stripes and strides, and readers of ever
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,8 +25,12 @@ from pactum.llm.shared import partitions
 FILE_SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
 
 
+@functools.cache
 def library_encoder(path: str) -> Encoder:
-    """The tokenizers library on each distinct pretoken; pretokens are encoded independently of each other."""
+    """The tokenizers library on each distinct pretoken; pretokens are encoded independently of each other.
+
+    One for each worker process: later tasks find what earlier ones worked out.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -39,7 +44,7 @@ def library_encoder(path: str) -> Encoder:
             out += [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)]
         return out
 
-    return Encoder({s.encode(): i for s, i in vocabulary(path).special.items()}, solve)
+    return Encoder({s.encode(): i for s, i in vocabulary(path).special.items()}, solve, 1_000_000)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 2) -> None:
