@@ -26,7 +26,9 @@ from pactum.llm.shared import partitions
 WINDOW = 13
 LENGTHS = (1, 2, 4, WINDOW)
 #: Suffixes of a group at most, but for the last length; bytes of text that are packed at once.
-BOUND, PIECE = 4_000_000, 16 << 20
+BOUND, PIECE = 4_000_000, 6 << 20
+#: Counts of bins that travel in one row.
+CHUNK = 1024
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -85,12 +87,16 @@ def crowded_bins(docs: DataFrame, bins: int, bound: int) -> np.ndarray:
         for s in _suffixes(batches, 4 << 20):
             for level, length in enumerate(LENGTHS):
                 total[level] += np.bincount(s.bin(length, bins), minlength=bins)
-        flat = total.ravel()
-        some = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], names=["bin", "n"])
+        flat = np.zeros(-(-total.size // CHUNK) * CHUNK, np.int64)
+        flat[: total.size] = total.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) // CHUNK)), pa.array([x.tobytes() for x in flat.reshape(-1, CHUNK)], pa.binary())], names=["chunk", "counts"])
+
+    def add(chunk: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(x, np.int64) for x in chunk["counts"].to_pylist())
+        return pa.table([pa.array(chunk["chunk"][0].as_py() * CHUNK + np.flatnonzero(counts > bound))], names=["bin"])
 
     full = np.zeros(len(LENGTHS) * bins, bool)
-    for row in docs.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).where(F.col("n") > bound).collect():
+    for row in docs.mapInArrow(run, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "bin long").collect():
         full[row.bin] = True
     return full.reshape(len(LENGTHS), bins)
 
