@@ -33,15 +33,22 @@ def winnow(codes: np.ndarray, offsets: np.ndarray, k: int = K, w: int = W) -> tu
     # the rolling hash h(i + 1) = (h(i) - c(i) B^(k-1)) B + c(i + k), by Horner's rule for all places at once
     padded = np.zeros(n + k, U64)
     padded[:n] = codes
-    own = np.repeat(np.arange(len(sizes)), sizes)
-    left = offsets[own + 1] - np.arange(n)  # characters from here to the end of the text
+    padded[:n] += U64(1)
     h = np.zeros(n, U64)
     for j in range(k):
-        # what lies beyond the end of a text counts as 0
-        h = h * GOLDEN + np.where(left > j, padded[j : j + n] + U64(1), U64(0))
+        h *= GOLDEN
+        h += padded[j : j + n]
+    for size in range(1, k):  # texts of fewer characters: what lies beyond their end counts as 0
+        short = offsets[:-1][sizes == size]
+        if len(short):
+            g = np.zeros(len(short), U64)
+            for j in range(k):
+                g = g * GOLDEN + (padded[short + j] if j < size else U64(0))
+            h[short] = g
     grams = np.maximum(sizes - k + 1, (sizes > 0).astype(np.int64))
     rows = ranges(offsets[:-1], grams)
-    own, place = own[rows], rows - offsets[own[rows]]
+    own = np.repeat(np.arange(len(sizes)), grams)
+    place = rows - offsets[own]
     # smallest hash first, then the rightmost place
     keys = (mix(h[rows]) >> U64(32) << U64(32)) | (U64(0xFFFFFFFF) - place.astype(U64))
     first = np.cumsum(grams) - grams
@@ -100,7 +107,7 @@ def edit_test(docs: DataFrame) -> DataFrame:
 
     The edited text's last floor(n_chars / 4) characters are the first as many (or all) of the next document's, by
     ascending doc_id, after the last the first. Null texts count as empty. Null ids come first; rows with one id are
-    ordered by their text; of equal rows each is the next of another. A fingerprint is the choices in order of their places,
+    ordered by their text's hash; of equal rows each is the next of another. A fingerprint is the choices in order of their places,
     hashes as eight hexadecimal digits; likeness is that of the sets of hashes.
 
     One shuffle: rows go to ranges of ids; the first row of a range goes to the range before it as well, so every
@@ -112,14 +119,16 @@ def edit_test(docs: DataFrame) -> DataFrame:
     ids = rows.select("doc_id", F.xxhash64("text").alias("tie"))
     bounds = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)))
 
-    # ranges by a binary search, as nested conditions of logarithmic depth
-    def place(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") < F.lit(int(bounds[mid])), place(low, mid)).otherwise(place(mid + 1, high))
+    # the number of bounds up to the id, by a binary search; null ids are in the first range
+    cuts = F.array(*[F.lit(int(b)).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
 
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place(0, len(bounds)))
+    def halve(at, _):
+        mid = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        below = F.col("doc_id") < F.get(cuts, mid)
+        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(F.when(below, at["low"]).otherwise(mid + 1).alias("low"), F.when(below, mid).otherwise(at["high"]).alias("high")))
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), whole, halve)["low"])
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")
     heads = sorted((r.part, r.head) for r in ids.groupBy(part.alias("part")).agg(F.min(order).alias("head")).collect())
     if not heads:
@@ -134,8 +143,8 @@ def edit_test(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row before, which waits for its successor
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                chunk = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 64):
+                chunk = batch.slice(i, 64)
                 p, head, doc, text = (chunk.column(k).to_pylist() for k in (0, 1, 2, 4))
                 todo = [*([held] if held else []), *zip(p, head, doc, text)]
                 held = todo.pop() if todo else None
@@ -156,8 +165,13 @@ def _compare(pairs: list[tuple]) -> pa.RecordBatch:
     cut = [len(t) // 4 for t in texts]
     edited = [t[: len(t) - c] + x[:c] for t, x, c in zip(texts, after, cut)]
     m = len(pairs)
-    text, _, h = winnow(*_codes([*texts, *edited, *after]))
-    ptr = np.searchsorted(text, np.arange(3 * m + 1))
+    # the next text is mostly that of the next pair, whose fingerprint is there already
+    chained = [i + 1 < m and after[i] is texts[i + 1] for i in range(m)]
+    loose = [i for i in range(m) if not chained[i]]
+    next_of = {i: 2 * m + k for k, i in enumerate(loose)}
+    whole = [*texts, *edited, *(after[i] for i in loose)]
+    text, _, h = winnow(*_codes(whole))
+    ptr = np.searchsorted(text, np.arange(len(whole) + 1))
     marks = [h[a:b] for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist())]
     sets = [np.unique(x) for x in marks]
     spelled = [x.astype(">u4").tobytes().hex() for x in marks[: 2 * m]]
@@ -169,7 +183,7 @@ def _compare(pairs: list[tuple]) -> pa.RecordBatch:
             pa.array(spelled[:m], pa.string()),
             pa.array(spelled[m:], pa.string()),
             pa.array([likeness(sets[i], sets[m + i]) for i in range(m)], pa.float64()),
-            pa.array([likeness(sets[i], sets[2 * m + i]) for i in range(m)], pa.float64()),
+            pa.array([likeness(sets[i], sets[i + 1 if chained[i] else next_of[i]]) for i in range(m)], pa.float64()),
         ],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
