@@ -1,15 +1,20 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
 Lines are normalised (lower case, runs of anything but letters and numbers become one space) and identified by
-the 64-bit hash of that form. The SimHash of a line has a bit for each of 64 positions in which most of its longer
-words' hashes have one; short words, which all lines share, would draw unlike lines together. Lines whose SimHashes differ in at most DISTANCE bits agree in two of five blocks of bits, so they
-meet in one of ten tables keyed by two blocks. Pairs that do are links if their edit similarity is SIMILAR or
-more; of each connected group of lines one occurrence stays, the first by document and line.
+the 64-bit hash of that form. Two lines are links if their edit similarity is SIMILAR or more. Which are compared:
+
+* Under SHORT characters all that can be links: if at most t letters differ, one of t + 1 pieces of the shorter line
+  stands in the longer one, near its place. Lines with the same piece at such a place meet.
+* Longer lines by MinHash of their pairs of neighbouring words, and of the letter runs in long words: lines
+  meet in one of BANDS tables if two minima of the table are equal.
+
+Pairs that meet and whose SimHashes (of longer words) aren't more than DISTANCE bits apart, where unrelated lines lie
+about 32 apart, are compared. Of each connected group of lines one occurrence stays, the first by document and line.
 """
 
 from __future__ import annotations
 
-import itertools
+import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +22,15 @@ from pyspark.sql import functions as F
 from pactum.llm.components import components
 from pactum.llm.shared import stored
 
-DISTANCE, SIMILAR, HOT = 3, 0.9, 8
+DISTANCE, SIMILAR, HOT = 28, 0.9, 8
 #: Letters of the words that count for the SimHash; rows of 8 bytes that are broadcast at most.
 LETTERS, BROADCAST = 4, 1_000_000
-#: The five blocks of the SimHash: (first bit, bits).
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Lines under SHORT characters meet by pieces; tables of two minima each for the others.
+SHORT, BANDS = 60, 16
+#: Words of over WORD letters also count by their runs of RUN letters, so writing without blanks has features too.
+WORD, RUN = 12, 8
+#: What turns one hash into those of the tables' minima: (bits to rotate by, bits to flip).
+MIXES = [(8 * (i % 8), random.Random(i).getrandbits(64) - 2**63) for i in range(2 * BANDS)]
 
 
 def normal(line: Column) -> Column:
@@ -51,14 +60,63 @@ def sim_hashes(lines: DataFrame) -> DataFrame:
     return sums.select("line", low.bitwiseOR(F.shiftleft(high, 32)).alias("sim"))
 
 
-def block_keys(sim: Column) -> list[Column]:
-    """One key for each two of the five blocks."""
-    block = [F.shiftrightunsigned(sim, first).bitwiseAND(F.lit((1 << size) - 1)) for first, size in BLOCKS]
-    return [F.lit(t << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for t, (i, j) in enumerate(itertools.combinations(range(5), 2))]
+def _most(length: int) -> int:
+    """The edits that lines with the longer one of this length may be apart."""
+    return int((1 - SIMILAR) * length + 1e-9)
+
+
+def pieces() -> list[tuple[int, int, int, int, int, int]]:
+    """(length, shorter, most, piece, first, size): where a line of some length may hold a piece of a shorter line.
+
+    A line also has its own pieces, at their own places, for longer partners with as many edits at most.
+    """
+    rows = set()
+    for longer in range(SHORT):
+        most = _most(longer)
+        for shorter in range(longer - most, longer + 1) if most else ():
+            small, larger = divmod(shorter, most + 1)
+            more, first = longer - shorter, 0
+            for i in range(most + 1):
+                size = small + (i > most - larger)
+                rows.add((shorter, shorter, most, i, first + 1, size))
+                for at in range(max(0, first - i, first + more - (most - i)), min(longer - size, first + i, first + more + most - i) + 1):
+                    rows.add((longer, shorter, most, i, at + 1, size))
+                first += size
+    return sorted(rows)
+
+
+def piece_keys(lines: DataFrame) -> DataFrame:
+    """(line, key) of the short rows (line, norm): lines that can be links have one key in common."""
+    plan = lines.sparkSession.createDataFrame(pieces(), "length int, shorter int, most int, piece int, first int, size int")
+    short = lines.where((F.length("norm") < SHORT)).dropDuplicates(["line"]).withColumn("length", F.length("norm"))
+    return short.join(F.broadcast(plan), "length").select("line", F.xxhash64("shorter", "most", "piece", F.expr("substring(norm, first, size)")).alias("key")).distinct()
+
+
+def minima(lines: DataFrame) -> DataFrame:
+    """(line, m0, m1, ...) of the rows (line, norm) that may have a partner of SHORT characters or more.
+
+    As in ``sim_hashes``, occurrences of a line all give the same minima, so they are formed before the shuffle.
+    """
+    long = lines.where(F.length("norm") >= SHORT - _most(SHORT))
+    words = F.split("norm", " ")
+    pairs = long.select("line", F.explode(F.arrays_zip(words.alias("x"), F.slice(words, 2, F.size(words)).alias("y"))).alias("p")).where("p.y is not null").select("line", F.xxhash64("p.x", "p.y").alias("h"))
+    large = long.where(F.col("norm").rlike(f"[^ ]{{{WORD + 1}}}")).select("line", F.explode(words).alias("word")).where(F.length("word") > WORD)
+    runs = large.select("line", "word", F.explode(F.sequence(F.lit(1), F.length("word") - (RUN - 1))).alias("at")).select("line", F.xxhash64(F.expr(f"substring(word, at, {RUN})")).alias("h"))
+    turned = {k: F.shiftleft("h", k).bitwiseOR(F.shiftrightunsigned("h", 64 - k)) if k else F.col("h") for k, _ in MIXES}
+    return pairs.union(runs).groupBy("line").agg(*(F.min(turned[k].bitwiseXOR(F.lit(flip))).alias(f"m{i}") for i, (k, flip) in enumerate(MIXES)))
+
+
+def keys_of(lines: DataFrame) -> DataFrame:
+    """(line, key): lines that may be links have a key in common."""
+    tables = F.array(*(F.xxhash64(F.lit(t), f"m{2 * t}", f"m{2 * t + 1}") for t in range(BANDS)))
+    return minima(lines).select("line", F.explode(tables).alias("key")).union(piece_keys(lines))
 
 
 def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+    """Lengths and SimHashes allow a link; a line without a SimHash may be one with any."""
+    x, y = F.greatest(f"{a}.n", f"{b}.n"), F.least(f"{a}.n", f"{b}.n")
+    apart = F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim")))
+    return (x - y <= F.floor((1 - SIMILAR) * x + 1e-9)) & ((x < SHORT) | F.coalesce(apart <= DISTANCE, F.lit(True)))
 
 
 def line_links(lines: DataFrame) -> DataFrame:
@@ -67,36 +125,36 @@ def line_links(lines: DataFrame) -> DataFrame:
     In a bucket of over HOT lines all are compared with its first; lines that stay outside its largest component are then
     compared with all of the bucket. Buckets with one main component are one family, so a pair is compared once.
     """
-    sims = stored(sim_hashes(lines))
-    keys = sims.select("line", F.explode(F.array(*block_keys(F.col("sim")))).alias("key"))
     bucket = Window.partitionBy("key")
-    met = stored(keys.select("key", "line", F.count("*").over(bucket).alias("size"), F.min("line").over(bucket).alias("head")).where("size > 1"))
-    met = stored(_few(sims, met.select("line").distinct()).join(met, "line"))
+    met = stored(keys_of(lines).select("key", "line", F.count("*").over(bucket).alias("size"), F.min("line").over(bucket).alias("head")).where("size > 1"))
+    seen = stored(_few(lines, stored(met.select("line").distinct())))
+    looks = seen.groupBy("line").agg(F.max(F.length("norm")).alias("n")).join(sim_hashes(seen), "line", "left").select("line", F.struct("n", "sim").alias("look"))
+    met = stored(met.join(looks, "line"))
     cold, hot = met.where(F.col("size") <= HOT), met.where(F.col("size") > HOT)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct())
         ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-        texts = stored(_few(lines, stored(ends)).dropDuplicates(["line"]))
+        texts = stored(_few(seen, stored(ends)).dropDuplicates(["line"]))
         both = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
         longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
         most = f"cast(floor({1 - SIMILAR:.4f} * greatest(length(x), length(y)) + 1e-9) as int)"
         return stored(both.where((longest - shortest <= F.expr(most)) & F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b"))
 
-    x, y = (cold.select("key", F.col("line").alias(c), F.col("sim").alias(f"s{c}")) for c in "ab")
+    x, y = (cold.select("key", F.col("line").alias(c), F.col("look").alias(f"s{c}")) for c in "ab")
     within = x.join(y, "key").where((F.col("a") < F.col("b")) & _near("sa", "sb")).select("a", "b")
-    heads = hot.where("line = head").select("key", F.col("sim").alias("head_sim"))
-    stars = hot.where("line <> head").join(heads, "key").where(_near("sim", "head_sim")).select(F.col("head").alias("a"), F.col("line").alias("b"))
+    heads = hot.where("line = head").select("key", F.col("look").alias("head_look"))
+    stars = hot.where("line <> head").join(heads, "key").where(_near("look", "head_look")).select(F.col("head").alias("a"), F.col("line").alias("b"))
     links = confirmed(within.union(stars))
     if hot.isEmpty():
         return links
     found = components(links)
-    placed = hot.join(found, F.col("line") == F.col("node"), "left").select("key", "line", "sim", F.coalesce("component", "line").alias("component"))
+    placed = hot.join(found, F.col("line") == F.col("node"), "left").select("key", "line", "look", F.coalesce("component", "line").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = parts.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("family"), F.count("*").alias("parts")).where("parts > 1").select("key", "family")
-    members = placed.join(main, "key").select("family", "line", "sim", "component").distinct()
-    rest = members.where("component <> family").select("family", F.col("line").alias("u"), F.col("component").alias("cu"), F.col("sim").alias("su"))
-    whole = members.select("family", F.col("line").alias("v"), F.col("component").alias("cv"), F.col("sim").alias("sv"))
+    members = placed.join(main, "key").select("family", "line", "look", "component").distinct()
+    rest = members.where("component <> family").select("family", F.col("line").alias("u"), F.col("component").alias("cu"), F.col("look").alias("su"))
+    whole = members.select("family", F.col("line").alias("v"), F.col("component").alias("cv"), F.col("look").alias("sv"))
     crossed = rest.join(whole, "family").where((F.col("cu") != F.col("cv")) & _near("su", "sv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     return links.union(confirmed(crossed))
 

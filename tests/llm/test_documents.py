@@ -317,3 +317,42 @@ def test_edited_texts(spark):
     assert fingerprints.edit_test(frame(spark, [])).count() == 0
     single = fingerprints.edit_test(frame(spark, [(1, "only one text here")])).collect()
     assert [(r.near_next,) for r in single] == [(1.0,)]
+
+
+def edits(a, b):
+    row = np.arange(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + np.array([x != y for y in b]))
+        row = np.minimum.accumulate(np.concatenate([[i], step]) - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+    return row[-1]
+
+
+def edited(rng, line, n):
+    """The line with n letters changed, lost or added, each in a word of its own where there are enough."""
+    words = line.split(" ")
+    for k in rng.sample(range(len(words)), min(n, len(words))):
+        w, at = words[k], rng.randrange(len(words[k]))
+        words[k] = rng.choice([w[:at] + "q" + w[at + 1 :], w[:at] + "q" + w[at:], (w[:at] + w[at + 1 :]) or "q"])
+    return " ".join(words)
+
+
+def test_fuzzy_recall_by_length(spark):
+    """Links against edit similarity alone: all under 60 characters, and nearly all of up to three edits above."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([1, 2, 3, 3, 4, 5, 6, 8, 11]))) for _ in range(4000)]
+    norm, pairs = [], []
+    for words in (1, 3, 6, 11, 20, 35, 70):
+        for _ in range(150):
+            a = " ".join(rng.choice(vocabulary) for _ in range(words))
+            b = edited(rng, a, rng.choice([1, 1, 2, 3]))
+            pairs.append((len(norm), len(norm) + 1))
+            norm += [a, b]
+    norm += ["of the in", "of thr in", "of the in an at by", "of the in an at bx", "".join(chr(0x4E00 + i * 7) for i in range(90)), "".join(chr(0x4E00 + i * (7 if i != 50 else 8)) for i in range(90))]
+    pairs += [(len(norm) - k, len(norm) - k + 1) for k in (6, 4, 2)]
+    got = {tuple(sorted(r)) for r in line_dedup.line_links(spark.createDataFrame(list(enumerate(norm)), "line long, norm string")).collect()}
+    near = [p for p in pairs if norm[p[0]] != norm[p[1]] and edits(norm[p[0]], norm[p[1]]) <= int(0.1 * max(len(norm[i]) for i in p) + 1e-9)]
+    for low, high, least in ((0, 60, 1.0), (60, 100, 0.9), (100, 200, 0.97), (200, 10**6, 0.99)):
+        some = [p for p in near if low <= max(len(norm[i]) for i in p) < high]
+        print(low, len(some), sum(p in got for p in some) / len(some))
+        assert len(some) > 50 and sum(p in got for p in some) >= least * len(some)
+    assert (len(norm) - 2, len(norm) - 1) in got
