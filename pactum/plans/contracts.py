@@ -9,7 +9,7 @@ from pactum.functions import patterns as P
 from pactum.functions.text import clean_contract, order_score
 from pactum.operators import checks, evaluation, masking, report, rules
 from pactum.operators.segmentation import segment
-from pactum.sources.derived import CONTRACTS_SQL, contracts
+from pactum.sources.derived import CONTRACTS_SQL, contracts, labels
 
 
 def analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -175,13 +175,20 @@ def pii_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings against labels that follow from the clause bank by another way: precision and recall of each rule's law."""
+    """Findings of one law (제27조) against the clauses that say its phrase; ``rule_scores`` has all rules and laws."""
     clauses = _clauses(spark, sf_dir)
     found = rules.run_rules(clauses).where("law_id = '근로기준법-제27조'").select("doc_id", "clause_seq", "law_id")
     expected = clauses.where(F.contains("text", F.lit("문자로 통보"))).select("doc_id", "clause_seq", F.lit("근로기준법-제27조").alias("law_id"))
     return evaluation.scores(evaluation.matched(found, expected, ["doc_id", "clause_seq", "law_id"]))
 
 
+def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings against labels that follow from the clause bank and its figures: scores by law, and in total with a null law."""
+    keys = ["doc_id", "clause_seq", "law_id", "severity"]
+    found = rules.run_rules(_clauses(spark, sf_dir))
+    return evaluation.scores_by(evaluation.matched(found, labels(spark, sf_dir), keys), "law_id")
+
+
 def _count_terms(terms: list[str], where: str = "text") -> str:
     return " + ".join(f"CAST(contains({where}, '{t}') AS INT)" for t in terms)
 
@@ -204,7 +211,7 @@ _FEATURES = f"""f AS (SELECT doc_id, text, {" + ".join(f"CAST({e} AS INT)" for e
       WHEN says AND n_execution_signals > 0 THEN 'contractor .65' ELSE 'other .6' END AS v FROM f)"""
 _MASKED = "replace(replace(regexp_replace(regexp_replace(text, '한빛[0-9]+상사', '[사업체명]', 'g'), '02-123-[0-9]{4}', '[연락처]', 'g'), '성명 : ' || '김' || doc_id || ' (서명)', '성명 : [성명] (서명)'), '', '')"
 
-QUERIES = {f.__name__: f for f in (clause_segmentation, rule_findings, law_summary, contract_risk, clause_highlights, report_meta, unflagged_clauses, review_digest, document_types, missing_terms, contract_checks, masked_contracts, pii_by_kind, expected_findings)}
+QUERIES = {f.__name__: f for f in (clause_segmentation, rule_findings, law_summary, contract_risk, clause_highlights, report_meta, unflagged_clauses, review_digest, document_types, missing_terms, contract_checks, masked_contracts, pii_by_kind, expected_findings, rule_scores)}
 ORACLE_SQL = {
     "clause_segmentation": f"WITH {LINES} SELECT * FROM clauses",
     "rule_findings": f"WITH {FINDINGS} SELECT * FROM findings",

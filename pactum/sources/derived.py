@@ -7,6 +7,7 @@ something to find at any size.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Clauses, with # a small number and @ an amount of money.
 CLAUSES = [
@@ -63,6 +64,43 @@ def _clause(k: int) -> str:
     return f"chr(10) || '제{k + 1}조(항목{k + 1}) ' || replace(replace(replace({pick}, '#', {small}), '@', {money}), '$', {monthly})"
 
 
+#: What the law says of each clause of the bank, by its index: (law, severity, condition on small, money and monthly).
+#: Clauses that aren't here are lawful. Found by reading the clauses, not by the rules' patterns.
+LABELS = {
+    0: ("최저임금법-제6조", "violation", "money < 10320"),
+    1: ("최저임금법-제6조", "violation", "monthly < 2156880 AND monthly >= 500000"),
+    2: ("근로기준법-제20조", "violation", "true"),
+    4: ("근로기준법-제20조", "violation", "true"),
+    5: ("근로기준법-제7조", "violation", "true"),
+    7: ("근로기준법-제60조", "unfavorable", "true"),
+    8: ("최저임금법-제5조", "unfavorable", "small > 3"),
+    9: ("근로기준법-제60조", "violation", "small < 15"),
+    10: ("근로기준법-제60조", "violation", "true"),
+    11: ("근로기준법-제50조", "violation", "small > 8"),
+    12: ("근로기준법-제50조", "violation", "small > 40"),
+    13: ("근로기준법-제56조", "violation", "true"),
+    14: ("근로기준법-제26조", "violation", "small < 30"),
+    15: ("근로기준법-제23조", "violation", "true"),
+    16: ("근로기준법-제36조", "violation", "small > 14"),
+    17: ("근로자퇴직급여보장법-제8조", "violation", "true"),
+    18: ("남녀고용평등법-제11조", "violation", "true"),
+    19: ("근로기준법-제43조", "unfavorable", "true"),
+    20: ("근로기준법-제54조", "violation", "true"),
+    21: ("근로기준법-제27조", "violation", "true"),
+    22: ("근로기준법-제95조", "violation", "small > 10"),
+    23: ("기간제법-제4조", "unfavorable", "small > 2"),
+    24: ("기간제법-제4조", "violation", "true"),
+    25: ("근로기준법-제104조", "violation", "true"),
+    26: ("남녀고용평등법-제19조", "violation", "true"),
+    27: ("근로기준법-제94조", "violation", "true"),
+    28: ("근로기준법-제6조", "violation", "true"),
+    29: ("근로기준법-제76조의2", "violation", "true"),
+    30: ("근로기준법-제74조", "violation", "small < 90"),
+    31: ("남녀고용평등법-제18조의2", "violation", "true"),
+    32: ("근로기준법-제40조", "violation", "true"),
+}
+
+
 CONTRACTS_SQL = (
     f"SELECT c_custkey AS doc_id, c_nationkey, split_part('{_TITLES}', '~', CAST(1 + c_custkey % {len(TITLES)} AS INT))"
     + " || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE chr(10) || '사용자와 근로자는 다음과 같이 계약한다.' END"
@@ -76,3 +114,19 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, c_nationkey, text), one contract a customer."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return spark.sql(CONTRACTS_SQL.replace("FROM customer", "FROM {customer}"), customer=customer)
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, clause_seq, law_id, severity) of every clause that breaks or bends a law, by the bank's index and the figures."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k, key = F.col("k"), F.col("c_custkey")
+    said = customer.select(key, F.explode(F.array(*map(F.lit, range(PER_CONTRACT)))).alias("k")).select(
+        key.alias("doc_id"),
+        (k + 1).alias("clause_seq"),
+        ((key * (7 + 2 * k) + 11 * k) % len(CLAUSES)).alias("clause"),
+        ((key * (13 + k) + 5 * k) % 60).alias("small"),
+        ((9 + (key + k) % 3) * 1000 + (key * (37 + k)) % 1000).alias("money"),
+        (400000 + (key * (7919 + k)) % 2400000).alias("monthly"),
+    )
+    label = F.coalesce(*(F.when((F.col("clause") == i) & F.expr(test), F.struct(F.lit(law).alias("law_id"), F.lit(severity).alias("severity"))) for i, (law, severity, test) in LABELS.items()))
+    return said.withColumn("label", label).where("label is not null").select("doc_id", "clause_seq", "label.law_id", "label.severity")

@@ -176,3 +176,16 @@ def test_reports_keep_clean_documents(spark):
     text = {r.doc_id: r.markdown for r in report.review(parts, found).collect()}
     assert text[1].startswith("### 🔴 제1조 임금") and "🔴" not in text[2]
     assert report.left_over(parts, found).count() == 2
+
+
+def test_rule_scores_of_all_laws(spark):
+    """Every law of the rules is scored, and the labels of the bank agree with them but for terms of ten years or more."""
+    from pactum.operators import rules
+    from pactum.plans import contracts as plans
+
+    got = {r.law_id: r for r in plans.rule_scores(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {r.law_id for r in rules.RULES} | {None}
+    for name in ("tp", "fp", "fn"):
+        assert got[None][name] == sum(r[name] for law, r in got.items() if law)
+    print([(law, r.tp, r.fp, r.fn) for law, r in got.items() if law is None or r.fp or r.fn])
+    assert all(r.tp > 0 for r in got.values())
