@@ -274,11 +274,11 @@ ORACLE_SQL = {
 
 
 def language_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validated language of each document's first sentence: no SQL, the model is fitted."""
+    """Cross-validated language of each document, by its whole text: no SQL, the model is fitted."""
     from pactum.operators import classifier
 
-    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("text"), F.col("lang").alias("label"))
-    return classifier.cross_validated(d, terms=3000, iterations=10).select(F.col("key").alias("doc_id"), "label", "fold", "predicted", F.round("confidence", 3).alias("confidence"))
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
+    return classifier.cross_validated(d).select(F.col("key").alias("doc_id"), "label", "fold", "predicted", F.round("confidence", 3).alias("confidence"))
 
 
 QUERIES["language_classifier"] = language_classifier

@@ -101,3 +101,14 @@ def test_judge_with_scripted_replies(spark):
     assert {(r.doc_id, r.clause_seq, r.severity, r.gate_passed, r.error is None) for r in got.collect()} == {(1, 1, "violation", True, True), (1, 2, "ok", True, False), (1, 3, "ok", False, True)}
     assert [r.claimed_law_id for r in judging.quarantined(got).collect()] == ["L3"]
     assert {r.severity for r in judging.ask(clauses, index, laws).collect()} == {"ok"}
+
+
+def test_language_by_whole_text(spark, tmp_path):
+    """Documents whose first line says nothing, or is in the other language."""
+    from pactum.plans import texts
+
+    words = {"en": "the house and garden are green", "de": "das haus und der garten sind schön"}
+    rows = [(i, ("\n" if i % 4 < 2 else words["de" if i % 2 else "en"] + "\n") + "\n".join([words["en" if i % 2 else "de"]] * 6), "en" if i % 2 else "de") for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = texts.language_classifier(spark, str(tmp_path)).collect()
+    assert len(got) == 24 and all(r.predicted == r.label for r in got)
