@@ -62,7 +62,7 @@ def letter_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of three readings of each document: as it is, without its first half, and with every letter e lost."""
+    """The best of three readings of each document: as it is, its first 400 characters, and with every letter e lost."""
     d = _table(spark, sf_dir, "documents")
     ways = [("whole", F.col("text")), ("half", F.substring("text", 1, 400)), ("lossy", F.replace("text", F.lit("e"), F.lit("")))]
     tries = None
@@ -98,7 +98,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The citation gate: the first 40 characters of each document's first passage offered, against that passage's text."""
+    """The citation gate on one quote a document and one item: of odd ids the first 40 characters, of even ids part of the item itself. ``quoted_items`` has whole documents."""
     items = _table(spark, sf_dir, "benchmark")
     n = items.agg(F.count("*").alias("n_items"))
     asked = _table(spark, sf_dir, "documents").crossJoin(F.broadcast(n)).select("doc_id", F.substring("text", 1, 40).alias("quote"), F.pmod("doc_id", "n_items").alias("item_id"))
@@ -107,6 +107,17 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "item_id", retrieval.citation_holds(F.col("quote"), F.col("source")).alias("passes"))
 
 
+def quoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The citation gate on every sentence of each document as a quote, against each of the items that retrieval offers for it."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"))
+    index = retrieval.bm25_index(items.select(F.col("item_id").alias("law_id"), F.col("item_id").alias("pos"), F.col("source").alias("body")))
+    sentences = F.split("text", r"\n|(?<=[.!?])\s+")
+    quotes = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences).alias("quote_no", "quote")).withColumn("query_id", F.struct("doc_id", "quote_no"))
+    offered = retrieval.bm25_search(index, quotes.select("query_id", F.col("quote").alias("text"))).select("query_id", F.col("law_id").alias("item_id"), "rank")
+    gated = quotes.join(offered, "query_id").join(items, "item_id")
+    return gated.select("doc_id", "quote_no", "item_id", "rank", retrieval.citation_holds(F.col("quote"), F.col("source")).alias("passes"))
+
+
 def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule for bad quality (signs and capitals) against the labels: precision, recall, F1."""
     d = _table(spark, sf_dir, "documents")
@@ -191,7 +202,7 @@ def partly_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(masking.partly_masked(F.coalesce("text", F.lit(""))), 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (reading_scores, flagged_rows, partly_masked, cleaned_texts, page_words, tidy_tables, quote_forms, paragraph_clauses, input_reasons, letter_shares, best_engine, mail_spans, mail_masked, bm25_top, term_frequencies, citations, label_scores, label_folds, tiers, event_islands, page_texts, column_texts, hidden_words, risk_bands, worst_by_key)}
+QUERIES = {f.__name__: f for f in (reading_scores, flagged_rows, partly_masked, cleaned_texts, page_words, tidy_tables, quote_forms, paragraph_clauses, input_reasons, letter_shares, best_engine, mail_spans, mail_masked, bm25_top, term_frequencies, citations, quoted_items, label_scores, label_folds, tiers, event_islands, page_texts, column_texts, hidden_words, risk_bands, worst_by_key)}
 
 _SP = "[ \\t\\n\\r\\f\\v]"
 _CLEAN = f"regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '　', ' '), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_SP}+|{_SP}+$', '', 'g')"

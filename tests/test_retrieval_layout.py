@@ -112,3 +112,16 @@ def test_language_by_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = texts.language_classifier(spark, str(tmp_path)).collect()
     assert len(got) == 24 and all(r.predicted == r.label for r in got)
+
+
+def test_quotes_from_the_whole_document(spark, tmp_path):
+    """A passage late in an odd document counts, though it isn't the item that the id points to; even ids quote themselves."""
+    from pactum.plans import texts
+
+    passages = ["Wages are paid on the last day of each month.", "Leave of fifteen days is due after one year.", "A notice of thirty days comes before dismissal."]
+    filler = "Nothing of interest stands in this sentence here. " * 5
+    docs = [(3, filler + "\n" + filler + passages[2] + " And more."), (4, filler)]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = texts.quoted_items(spark, str(tmp_path)).where("passes").collect()
+    assert [(r.doc_id, r.item_id, r["rank"]) for r in got] == [(3, 2, 1)]
