@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import stored
+from pactum.llm.shared import release, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,7 +22,10 @@ def components(links: DataFrame) -> DataFrame:
         seen = edges.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         near = now.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         far = now.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = stored(near.join(far, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), F.least("label", F.coalesce("further", "label")).__lt__(F.col("old")).alias("moved")))
-        now = after.select("node", "label")
+        after = near.join(far, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
+        after = stored(after.select("node", "label", (F.col("label") < F.col("old")).alias("moved")))
+        release(now)
+        now = after
         if after.where("moved").isEmpty():
+            release(edges)
             return now.select("node", F.col("label").alias("component"))

@@ -5,32 +5,40 @@ the 64-bit hash of that form. Two lines are links if their edit similarity is SI
 
 * Under SHORT characters all that can be links: if at most t letters differ, one of t + 1 pieces of the shorter line
   stands in the longer one, near its place. Lines with the same piece at such a place meet.
-* Longer lines by MinHash of their pairs of neighbouring words, and of the letter runs in long words: lines
-  meet in one of BANDS tables if two minima of the table are equal.
+* Longer lines by the blocks of their SimHash. Its projections are sparse: a line's words fall into as many classes as
+  it has blocks, by their hash, and the words of a class vote on the 64 bits of one block only. A word that differs
+  then changes one block and leaves the others as they are, so of m blocks one is equal if fewer than m words differ
+  (a replaced word counts twice), and by the luck of the classes often with more. Lines with an equal block meet.
 
-Pairs that meet and whose SimHashes (of longer words) aren't more than DISTANCE bits apart, where unrelated lines lie
-about 32 apart, are compared. Of each connected group of lines one occurrence stays, the first by document and line.
+Pairs that meet are compared if their lengths and SimHashes allow a link: of the 60 bits kept, ten or six of a block,
+unrelated lines differ in about 30. Of each connected group of lines one occurrence stays, the first by document and line.
 """
 
 from __future__ import annotations
 
-import random
+import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.components import components
-from pactum.llm.shared import stored
-
-DISTANCE, SIMILAR, HOT = 28, 0.9, 8
-#: Letters of the words that count for the SimHash; rows of 8 bytes that are broadcast at most.
-LETTERS, BROADCAST = 4, 1_000_000
-#: Lines under SHORT characters meet by pieces; tables of two minima each for the others.
-SHORT, BANDS = 60, 16
-#: Words of over WORD letters also count by their runs of RUN letters, so writing without blanks has features too.
-WORD, RUN = 12, 8
-#: What turns one hash into those of the tables' minima: (bits to rotate by, bits to flip).
-MIXES = [(8 * (i % 8), random.Random(i).getrandbits(64) - 2**63) for i in range(2 * BANDS)]
+from pactum.llm.shared import release, stored
+
+DISTANCE, SIMILAR, HOT = 24, 0.9, 8
+#: Rows of 8 bytes that are broadcast at most.
+BROADCAST = 1_000_000
+#: Lines under SHORT characters meet by pieces. Those of over LONG are compared word by word.
+SHORT, LONG = 60, 20_000
+#: Words of over WORD letters count by their pairs of letters, so writing without blanks has features too.
+WORD = 20
+#: Blocks of a line of under and from EDGE features on; near EDGE a line has both.
+FEW, MORE, EDGE = 6, 10, 60
+#: Lines of MANY features have HUGE blocks of their different features: no count of a block outgrows its lane.
+MANY, HUGE = 32_768, 4096
+#: Words that a block must have to be a key.
+LEAST = 2
+#: Four lanes of 16 bits; counts are compared in 15 of each.
+ONES, TOPS = 0x0001000100010001, 0x4000400040004000
 
 
 def normal(line: Column) -> Column:
@@ -43,21 +51,68 @@ def _rows(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "tie", "line_no", normal(F.col("raw")).alias("norm")).where("norm <> ''")
 
 
-def sim_hashes(lines: DataFrame) -> DataFrame:
-    """(line, sim) of the rows (line, norm), one for each line.
+def features(norm: Column) -> Column:
+    """The words of a line; of a word of over WORD letters its pairs of letters."""
+
+    def pairs(word: Column) -> Column:
+        return F.flatten(F.transform(F.array(F.split(word, "")), lambda cs: F.transform(cs, lambda c, i: F.concat(c, F.coalesce(F.get(cs, i + 1), F.lit(""))))))
+
+    words = F.split(norm, " ")
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > WORD, pairs(w)).otherwise(F.array(w))))
+    return F.when(norm.rlike(f"[^ ]{{{WORD + 1}}}"), cut).otherwise(words)
+
+
+def _bits(count: Column) -> Column:
+    """The 64 bits that more than half of a block's features have; s0 to s15 count them, s<k> bits k, 16 + k, 32 + k, 48 + k."""
+    short = (F.lit(0x3FFF) - F.floor(count / 2)).cast("long") * F.lit(ONES)
+    out = F.lit(0).cast("long")
+    for k in range(16):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned((F.col(f"s{k}") + short).bitwiseAND(F.lit(TOPS)), 14), k))
+    return out
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(line, n, times, m, lead, class, count, bits): the m blocks of the rows (line, n, times, m, lead, features).
+
+    Rows that lie by line stay where they are: one aggregation and no shuffle.
+    """
+    votes = rows.select("line", "n", "times", "m", "lead", F.explode("features").alias("word")).select("line", "n", "times", "m", "lead", F.xxhash64("word").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(ONES))).alias(f"s{k}") for k in range(16)]
+    counted = votes.groupBy("line", "m", "lead", F.pmod("h", "m").alias("class")).agg(F.first("n").alias("n"), F.first("times").alias("times"), F.count("*").alias("count"), *sums)
+    return counted.select("line", "n", "times", "m", "lead", "class", "count", _bits(F.col("count")).alias("bits"))
 
-    A line's words are counted in 32 sums of two 32-bit lanes. Occurrences of a line all add the same, so its
-    majorities don't depend on how often it occurs, and no shuffle of texts is needed: sums are formed before the
-    shuffle. A line without a word of LETTERS letters has none and repeats others only exactly. (Beyond 2^32 words in all occurrences of one line its lanes run over, and it finds no fuzzy links.)
+
+def sim_hashes(lines: DataFrame) -> DataFrame:
+    """(line, n, times, sim, keys) of the rows (line, norm): length, occurrences, kept bits and keys of each line; lines that may
+    be links have a key in common. Some lines have several rows, with a part of the keys each; sim is null for MANY features.
     """
-    lane = 0x0000000100000001
-    words = lines.select("line", F.explode(F.split("norm", " ")).alias("word")).where(F.length("word") >= LETTERS).select("line", F.xxhash64("word").alias("h"))
-    sums = words.groupBy("line").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(lane))).alias(f"s{k}") for k in range(32)))
-    low, high = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for k in range(32):
-        low = low.bitwiseOR(F.when(2 * F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-        high = high.bitwiseOR(F.when(2 * F.shiftrightunsigned(f"s{k}", 32) > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return sums.select("line", low.bitwiseOR(F.shiftleft(high, 32)).alias("sim"))
+    one = lines.groupBy("line").agg(F.first("norm").alias("norm"), F.count("*").alias("times")).withColumn("n", F.length("norm"))
+    block_key = F.when((F.col("count") >= LEAST) & (F.col("n") >= SHORT - _most(SHORT)), F.xxhash64("m", "class", "bits"))
+
+    featured = one.where(F.col("n") > 0).select("line", "n", "times", features(F.col("norm")).alias("features"))
+    size = F.size("features")
+    few = F.when(size < 1.1 * EDGE, F.struct(F.lit(FEW).cast("long").alias("m"), (size < EDGE).alias("lead")))
+    more = F.when((size >= 0.9 * EDGE) & (size < 1.1 * MANY), F.struct(F.lit(MORE).cast("long").alias("m"), ((size >= EDGE) & (size < MANY)).alias("lead")))
+    scaled = featured.select("line", "n", "times", "features", F.explode(F.array_compact(F.array(few, more))).alias("s")).select("line", "n", "times", "s.m", "s.lead", "features")
+    width = F.when(F.col("m") == FEW, F.lit(60 // FEW)).otherwise(F.lit(60 // MORE)).cast("int")
+    kept = F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), width) - F.lit(1))
+    dealt = blocks(scaled).select(
+        "line", "n", "times", F.when(F.col("lead"), F.call_function("shiftleft", kept, (F.col("class") * width).cast("int"))).alias("placed"),
+        (F.col("class") + F.when(F.col("m") == FEW, F.lit(0)).otherwise(F.lit(FEW))).alias("slot"), block_key.alias("key"),
+    )
+    slots = range(FEW + MORE)
+    usual = dealt.groupBy("line").agg(F.first("n").alias("n"), F.first("times").alias("times"), F.bit_or("placed").alias("sim"), *[F.max(F.when(F.col("slot") == j, F.col("key"))).alias(f"k{j}") for j in slots])
+    usual = usual.select("line", "n", "times", "sim", F.array_compact(F.array(*[f"k{j}" for j in slots])).alias("keys"))
+
+    # a line has no more features than characters
+    large = one.where(F.col("n") >= int(0.9 * MANY)).select("line", "n", "times", features(F.col("norm")).alias("features")).where(size >= 0.9 * MANY)
+    large = large.select("line", "n", "times", F.lit(HUGE).cast("long").alias("m"), F.lit(False).alias("lead"), F.array_distinct("features").alias("features"))
+    huge = blocks(large).groupBy("line").agg(F.first("n").alias("n"), F.first("times").alias("times"), F.lit(None).cast("long").alias("sim"), F.collect_list(block_key).alias("keys"))
+
+    plan = lines.sparkSession.createDataFrame(pieces(), "n int, shorter int, most int, piece int, first int, size int")
+    short = one.where(F.col("n") < SHORT).join(F.broadcast(plan), "n")
+    short = short.select("line", "n", "times", F.lit(None).cast("long").alias("sim"), F.array(F.xxhash64("shorter", "most", "piece", F.expr("substring(norm, first, size)"))).alias("keys"))
+    return usual.union(huge).union(short)
 
 
 def _most(length: int) -> int:
@@ -85,84 +140,90 @@ def pieces() -> list[tuple[int, int, int, int, int, int]]:
     return sorted(rows)
 
 
-def piece_keys(lines: DataFrame) -> DataFrame:
-    """(line, key) of the short rows (line, norm): lines that can be links have one key in common."""
-    plan = lines.sparkSession.createDataFrame(pieces(), "length int, shorter int, most int, piece int, first int, size int")
-    short = lines.where((F.length("norm") < SHORT)).dropDuplicates(["line"]).withColumn("length", F.length("norm"))
-    return short.join(F.broadcast(plan), "length").select("line", F.xxhash64("shorter", "most", "piece", F.expr("substring(norm, first, size)")).alias("key")).distinct()
+def _near(x: str, y: str) -> Column:
+    """Lengths and SimHashes allow a link; short lines, and those without a SimHash, may be one with any."""
+    longer, shorter = F.greatest(f"{x}.n", f"{y}.n"), F.least(f"{x}.n", f"{y}.n")
+    apart = F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim")))
+    return (longer - shorter <= F.floor((1 - SIMILAR) * longer + 1e-9)) & ((longer < SHORT) | F.coalesce(apart <= DISTANCE, F.lit(True)))
 
 
-def minima(lines: DataFrame) -> DataFrame:
-    """(line, m0, m1, ...) of the rows (line, norm) that may have a partner of SHORT characters or more.
+def _letters(norm: str) -> Column:
+    """The line with one of 4,096 letters for each word, by its hash."""
+    coded = F.transform(F.split(norm, " "), lambda w: F.concat(F.lit("1"), F.substring(F.lpad(F.hex(F.xxhash64(w)), 16, "0"), 1, 3)))
+    return F.decode(F.unhex(F.array_join(coded, "")), "UTF-16BE")
 
-    As in ``sim_hashes``, occurrences of a line all give the same minima, so they are formed before the shuffle.
-    """
-    long = lines.where(F.length("norm") >= SHORT - _most(SHORT))
-    words = F.split("norm", " ")
-    pairs = long.select("line", F.explode(F.arrays_zip(words.alias("x"), F.slice(words, 2, F.size(words)).alias("y"))).alias("p")).where("p.y is not null").select("line", F.xxhash64("p.x", "p.y").alias("h"))
-    large = long.where(F.col("norm").rlike(f"[^ ]{{{WORD + 1}}}")).select("line", F.explode(words).alias("word")).where(F.length("word") > WORD)
-    runs = large.select("line", "word", F.explode(F.sequence(F.lit(1), F.length("word") - (RUN - 1))).alias("at")).select("line", F.xxhash64(F.expr(f"substring(word, at, {RUN})")).alias("h"))
-    turned = {k: F.shiftleft("h", k).bitwiseOR(F.shiftrightunsigned("h", 64 - k)) if k else F.col("h") for k, _ in MIXES}
-    return pairs.union(runs).groupBy("line").agg(*(F.min(turned[k].bitwiseXOR(F.lit(flip))).alias(f"m{i}") for i, (k, flip) in enumerate(MIXES)))
 
+def similar(x: str, y: str) -> Column:
+    """The edits turning line x into y are at most 1 - SIMILAR of the longer one's letters; over LONG letters, words count as letters."""
 
-def keys_of(lines: DataFrame) -> DataFrame:
-    """(line, key): lines that may be links have a key in common."""
-    tables = F.array(*(F.xxhash64(F.lit(t), f"m{2 * t}", f"m{2 * t + 1}") for t in range(BANDS)))
-    return minima(lines).select("line", F.explode(tables).alias("key")).union(piece_keys(lines))
+    def within(a: Column, b: Column) -> Column:
+        most = F.floor((1 - SIMILAR) * F.greatest(F.length(a), F.length(b)) + 1e-9).cast("int")
+        return F.call_function("levenshtein", a, b, most) >= 0
 
-
-def _near(a: str, b: str) -> Column:
-    """Lengths and SimHashes allow a link; a line without a SimHash may be one with any."""
-    x, y = F.greatest(f"{a}.n", f"{b}.n"), F.least(f"{a}.n", f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim")))
-    return (x - y <= F.floor((1 - SIMILAR) * x + 1e-9)) & ((x < SHORT) | F.coalesce(apart <= DISTANCE, F.lit(True)))
+    return F.when(F.greatest(F.length(x), F.length(y)) <= LONG, within(F.col(x), F.col(y))).otherwise(within(_letters(x), _letters(y)))
 
 
 def line_links(lines: DataFrame) -> DataFrame:
     """Links (a, b) between the lines of (line, norm), enough of them to connect what all connect.
 
-    In a bucket of over HOT lines all are compared with its first; lines that stay outside its largest component are then
-    compared with all of the bucket. Buckets with one main component are one family, so a pair is compared once.
+    Lines with a common key are a bucket. Buckets of up to HOT lines are compared pair by pair. Fuller ones are split by
+    length, which separates no lines that can be links; in cells that are still full all lines are compared with the one
+    that occurs most, and what stays outside the cell's largest component with all of the cell. Cells with one main
+    component are one family, so a pair is compared once.
     """
-    bucket = Window.partitionBy("key")
-    met = stored(keys_of(lines).select("key", "line", F.count("*").over(bucket).alias("size"), F.min("line").over(bucket).alias("head")).where("size > 1"))
-    seen = stored(_few(lines, stored(met.select("line").distinct())))
-    looks = seen.groupBy("line").agg(F.max(F.length("norm")).alias("n")).join(sim_hashes(seen), "line", "left").select("line", F.struct("n", "sim").alias("look"))
-    met = stored(met.join(looks, "line"))
-    cold, hot = met.where(F.col("size") <= HOT), met.where(F.col("size") > HOT)
+    hashed = stored(sim_hashes(lines))
+    keys = hashed.select("line", F.explode("keys").alias("key"))
+    met = stored(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b"))
+    members = stored(_few(keys, met.where("size > 2").select("key", "size"), "key").distinct())
+    few, full = members.where(F.col("size") <= HOT), members.where(F.col("size") > HOT)
+    within = few.select("key", F.col("line").alias("a")).join(few.select("key", F.col("line").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = stored(met.where("size = 2").select("a", "b").union(within).distinct())
+    wanted = stored(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(full.select("line")).distinct())
+    looks = _few(hashed.select("line", "n", "times", "sim"), wanted, "line").groupBy("line").agg(F.struct(F.first("n").alias("n"), F.max("sim").alias("sim")).alias("look"), F.first("times").alias("times"))
+    looks, seen = stored(looks), stored(_few(lines, wanted, "line").groupBy("line").agg(F.first("norm").alias("norm")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct())
-        ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-        texts = stored(_few(seen, stored(ends)).dropDuplicates(["line"]))
-        both = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
-        longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
-        most = f"cast(floor({1 - SIMILAR:.4f} * greatest(length(x), length(y)) + 1e-9) as int)"
-        return stored(both.where((longest - shortest <= F.expr(most)) & F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b"))
-
-    x, y = (cold.select("key", F.col("line").alias(c), F.col("look").alias(f"s{c}")) for c in "ab")
-    within = x.join(y, "key").where((F.col("a") < F.col("b")) & _near("sa", "sb")).select("a", "b")
-    heads = hot.where("line = head").select("key", F.col("look").alias("head_look"))
-    stars = hot.where("line <> head").join(heads, "key").where(_near("look", "head_look")).select(F.col("head").alias("a"), F.col("line").alias("b"))
-    links = confirmed(within.union(stars))
-    if hot.isEmpty():
+        x, y = (seen.select(F.col("line").alias(c), F.col("norm").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+        return stored(pairs.join(x, "a").join(y, "b").where(similar("x", "y")).select("a", "b"))
+
+    def looked(pairs: DataFrame) -> DataFrame:
+        x, y = (looks.select(F.col("line").alias(c), F.col("look").alias(f"s{c}")) for c in "ab")
+        return pairs.join(x, "a").join(y, "b").where(_near("sa", "sb")).select("a", "b")
+
+    if full.isEmpty():
+        links = confirmed(looked(pairs))
+        release(hashed, met, members, pairs, wanted, looks, seen)
+        return links
+
+    band = F.floor(F.log(F.col("look.n")) / -math.log(SIMILAR))
+    cells = full.join(looks, "line").select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("cell"), "line", "look", "times").dropDuplicates(["cell", "line"])
+    cells = stored(cells)
+    heads = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max(F.struct("times", -F.col("line"), "look")).alias("head")).where("size > 1")
+    cells = stored(cells.join(heads, "cell").select("cell", "line", "look", "size", (-F.col("head.col2")).alias("head"), F.col("head.look").alias("head_look")))
+    small, large = cells.where(F.col("size") <= HOT), cells.where(F.col("size") > HOT)
+    x, y = (small.select("cell", F.col("line").alias(c), F.col("look").alias(f"s{c}")) for c in "ab")
+    inside = x.join(y, "cell").where((F.col("a") < F.col("b")) & _near("sa", "sb")).select("a", "b")
+    stars = large.where((F.col("line") != F.col("head")) & _near("look", "head_look")).select(F.least("line", "head").alias("a"), F.greatest("line", "head").alias("b"))
+    links = confirmed(looked(pairs).union(inside).union(stars).distinct())
+    if large.isEmpty():
         return links
     found = components(links)
-    placed = hot.join(found, F.col("line") == F.col("node"), "left").select("key", "line", "look", F.coalesce("component", "line").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("family"), F.count("*").alias("parts")).where("parts > 1").select("key", "family")
-    members = placed.join(main, "key").select("family", "line", "look", "component").distinct()
-    rest = members.where("component <> family").select("family", F.col("line").alias("u"), F.col("component").alias("cu"), F.col("look").alias("su"))
-    whole = members.select("family", F.col("line").alias("v"), F.col("component").alias("cv"), F.col("look").alias("sv"))
+    placed = large.join(found, F.col("line") == F.col("node"), "left").select("cell", "line", "look", F.coalesce("component", "line").alias("component"))
+    parts = placed.groupBy("cell", "component").agg(F.count("*").alias("size"))
+    main = parts.groupBy("cell").agg(F.max(F.struct("size", "component"))["component"].alias("family"), F.count("*").alias("parts")).where("parts > 1").select("cell", "family")
+    family = stored(placed.join(main, "cell").select("family", "line", "look", "component").distinct())
+    rest = family.where("component <> family").select("family", F.col("line").alias("u"), F.col("component").alias("cu"), F.col("look").alias("su"))
+    whole = family.select("family", F.col("line").alias("v"), F.col("component").alias("cv"), F.col("look").alias("sv"))
     crossed = rest.join(whole, "family").where((F.col("cu") != F.col("cv")) & _near("su", "sv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    return links.union(confirmed(crossed))
+    links = links.union(confirmed(crossed.distinct()))
+    release(hashed, met, members, pairs, wanted, looks, seen)
+    return links
 
 
-def _few(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose line is wanted (line, all different): a broadcast if those are few, else a join that shuffles."""
+def _few(rows: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """The rows joined with wanted (all different in ``by``): a broadcast if those are few, else a join that shuffles."""
     wanted = wanted if wanted.limit(BROADCAST + 1).count() > BROADCAST else F.broadcast(wanted)
-    return rows.join(wanted, "line", "left_semi")
+    return rows.join(wanted, by)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -170,12 +231,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = stored(_rows(docs).select(F.xxhash64("norm").alias("line"), F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "line_no", "norm"))
     group = components(line_links(lines.select("line", "norm")))
     places = lines.drop("norm")
-    first = places.groupBy("line").agg(F.min(F.struct("last", "doc_id", "tie", "line_no")).alias("first"), F.count("*").alias("n"))
-    grouped = first.join(group, F.col("line") == F.col("node"), "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"))
+    here = F.struct("last", "doc_id", "tie", "line_no")
+    first = places.groupBy("line").agg(F.min(here).alias("first"), F.count("*").alias("n"))
+    grouped = stored(first.join(group, F.col("line") == F.col("node"), "left").select("line", "first", "n", F.coalesce("component", "line").alias("component")))
     kept = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("component", "kept")
     known = grouped.select("line", "component").join(kept, "component").select("line", "kept")
-    here = F.struct("last", "doc_id", "tie", "line_no")
-    return places.join(known, "line").where(here != F.col("kept")).groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone"))
+    gone = stored(places.join(known, "line").where(here != F.col("kept")).groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone")))
+    release(lines, grouped)
+    return gone
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -183,14 +246,15 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     n_chars, if there is such a column, becomes that of the new text. Lines without letters or numbers stay. No row goes:
     a document may end with an empty text. Null texts stay null. Rows that are the same in doc_id and text are one
-    document and keep the same lines. Documents come by doc_id, nulls last; of one document's lines the first stays. An
-    empty table gives no rows.
+    document and keep the same lines. Documents come by doc_id, nulls last; of one document's lines the first stays. Lines
+    of over LONG characters are compared word by word. Other columns may have any names. An empty table gives no rows.
     """
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__tie")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
-    out = {c: F.col(c) for c in docs.columns} | {"text": text}
+    gone = repeated_lines(docs)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("at"))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("tie")), "left")
+    text = F.col("row.text")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.when(F.col("gone").isNull(), text).otherwise(left)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*(v.alias(k) for k, v in out.items()))
