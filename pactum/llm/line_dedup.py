@@ -10,7 +10,7 @@ the 64-bit hash of that form. Two lines are links if their edit similarity is SI
   then changes one block and leaves the others as they are, so of m blocks one is equal if fewer than m words differ
   (a replaced word counts twice), and by the luck of the classes often with more. Lines with an equal block meet.
 
-Pairs that meet are compared if their lengths and SimHashes allow a link: of the 60 bits kept, ten or six of a block,
+Pairs that meet are compared if their lengths and SimHashes allow a link: of the 60 bits kept, ten or five of a block,
 unrelated lines differ in about 30. Of each connected group of lines one occurrence stays, the first by document and line.
 """
 
@@ -22,20 +22,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.components import components
-from pactum.llm.shared import release, stored
+from pactum.llm.shared import partitions, release, stored
 
-DISTANCE, SIMILAR, HOT = 24, 0.9, 8
+DISTANCE, SIMILAR, HOT = 28, 0.9, 8
 #: Rows of 8 bytes that are broadcast at most.
 BROADCAST = 1_000_000
 #: Lines under SHORT characters meet by pieces. Those of over LONG are compared word by word.
-SHORT, LONG = 60, 20_000
+SHORT, LONG = 60, 2_000
 #: Words of over WORD letters count by their pairs of letters, so writing without blanks has features too.
 WORD = 20
-#: Blocks of a line of under and from EDGE features on; near EDGE a line has both.
-FEW, MORE, EDGE = 6, 10, 60
-#: Lines of MANY features have HUGE blocks of their different features: no count of a block outgrows its lane.
-MANY, HUGE = 32_768, 4096
-#: Words that a block must have to be a key.
+#: Words of up to SMALL letters, the most frequent ones, count together with the word after them.
+SMALL = 3
+#: Blocks of a line of under and from EDGE characters on; a line that may have a partner on the other side has both.
+FEW, MORE, EDGE = 6, 12, 400
+#: Lines of under THIN characters also have AGAIN blocks, other classes of their few words.
+AGAIN, THIN = 5, 100
+#: Lines of MANY characters have HUGE blocks: no count of a block outgrows its lane.
+MANY, HUGE = 131_072, 4096
+#: Features that a block must have to be a key.
 LEAST = 2
 #: Four lanes of 16 bits; counts are compared in 15 of each.
 ONES, TOPS = 0x0001000100010001, 0x4000400040004000
@@ -52,14 +56,23 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def features(norm: Column) -> Column:
-    """The words of a line; of a word of over WORD letters its pairs of letters."""
+    """Hashes of the different words of a line, a word of up to SMALL letters with the one after it.
+
+    A word of over WORD letters counts by its pairs of letters.
+    """
 
     def pairs(word: Column) -> Column:
-        return F.flatten(F.transform(F.array(F.split(word, "")), lambda cs: F.transform(cs, lambda c, i: F.concat(c, F.coalesce(F.get(cs, i + 1), F.lit(""))))))
+        return F.flatten(F.transform(F.array(F.split(word, "")), lambda cs: F.transform(cs, lambda c, i: F.xxhash64(c, F.get(cs, i + 1)))))
+
+    def hashed(words: Column) -> Column:
+        return F.transform(words, lambda w, i: F.when(F.length(w) > SMALL, F.xxhash64(w)).otherwise(F.xxhash64(w, F.get(words, i + 1))))
 
-    words = F.split(norm, " ")
-    cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > WORD, pairs(w)).otherwise(F.array(w))))
-    return F.when(norm.rlike(f"[^ ]{{{WORD + 1}}}"), cut).otherwise(words)
+    def cut(words: Column) -> Column:
+        return F.flatten(F.transform(words, lambda w, i: F.when(F.length(w) > WORD, pairs(w)).when(F.length(w) > SMALL, F.array(F.xxhash64(w))).otherwise(F.array(F.xxhash64(w, F.get(words, i + 1))))))
+
+    # a variable of transform, so the words are split once
+    once = F.array(F.split(norm, " "))
+    return F.array_distinct(F.when(norm.rlike(f"[^ ]{{{WORD + 1}}}"), F.flatten(F.transform(once, cut))).otherwise(F.flatten(F.transform(once, hashed))))
 
 
 def _bits(count: Column) -> Column:
@@ -72,47 +85,31 @@ def _bits(count: Column) -> Column:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """(line, n, times, m, lead, class, count, bits): the m blocks of the rows (line, n, times, m, lead, features).
+    """(line, m, class, count, bits): the m blocks of the rows (line, m, norm).
 
     Rows that lie by line stay where they are: one aggregation and no shuffle.
     """
-    votes = rows.select("line", "n", "times", "m", "lead", F.explode("features").alias("word")).select("line", "n", "times", "m", "lead", F.xxhash64("word").alias("h"))
+    votes = rows.select("line", "m", F.explode_outer(features(F.col("norm"))).alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(ONES))).alias(f"s{k}") for k in range(16)]
-    counted = votes.groupBy("line", "m", "lead", F.pmod("h", "m").alias("class")).agg(F.first("n").alias("n"), F.first("times").alias("times"), F.count("*").alias("count"), *sums)
-    return counted.select("line", "n", "times", "m", "lead", "class", "count", _bits(F.col("count")).alias("bits"))
+    counted = votes.groupBy("line", "m", F.pmod("h", "m").alias("class")).agg(F.count("*").alias("count"), *sums)
+    return counted.select("line", "m", "class", "count", _bits(F.col("count")).alias("bits"))
 
 
 def sim_hashes(lines: DataFrame) -> DataFrame:
-    """(line, n, times, sim, keys) of the rows (line, norm): length, occurrences, kept bits and keys of each line; lines that may
-    be links have a key in common. Some lines have several rows, with a part of the keys each; sim is null for MANY features.
+    """(line, key, m, class, kept) of the rows (line, norm): lines that may be links have a key in common.
+
+    Rows of FEW or MORE blocks have the bits that are kept of the block.
     """
-    one = lines.groupBy("line").agg(F.first("norm").alias("norm"), F.count("*").alias("times")).withColumn("n", F.length("norm"))
-    block_key = F.when((F.col("count") >= LEAST) & (F.col("n") >= SHORT - _most(SHORT)), F.xxhash64("m", "class", "bits"))
-
-    featured = one.where(F.col("n") > 0).select("line", "n", "times", features(F.col("norm")).alias("features"))
-    size = F.size("features")
-    few = F.when(size < 1.1 * EDGE, F.struct(F.lit(FEW).cast("long").alias("m"), (size < EDGE).alias("lead")))
-    more = F.when((size >= 0.9 * EDGE) & (size < 1.1 * MANY), F.struct(F.lit(MORE).cast("long").alias("m"), ((size >= EDGE) & (size < MANY)).alias("lead")))
-    scaled = featured.select("line", "n", "times", "features", F.explode(F.array_compact(F.array(few, more))).alias("s")).select("line", "n", "times", "s.m", "s.lead", "features")
+    one, n = lines.groupBy("line").agg(F.first("norm").alias("norm")), F.length("norm")
+    m = [F.when((n >= low) & (n <= high), F.lit(k).cast("long")) for k, low, high in ((AGAIN, SHORT * SIMILAR - 1, THIN / SIMILAR + 1), (FEW, SHORT * SIMILAR - 1, EDGE / SIMILAR + 1), (MORE, EDGE * SIMILAR - 1, MANY / SIMILAR + 1), (HUGE, MANY * SIMILAR - 1, 1 << 31))]
+    cut = blocks(one.where(n >= SHORT * SIMILAR - 1).select("line", F.explode(F.array_compact(F.array(*m))).alias("m"), "norm")).where(F.col("count") >= LEAST)
     width = F.when(F.col("m") == FEW, F.lit(60 // FEW)).otherwise(F.lit(60 // MORE)).cast("int")
-    kept = F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), width) - F.lit(1))
-    dealt = blocks(scaled).select(
-        "line", "n", "times", F.when(F.col("lead"), F.call_function("shiftleft", kept, (F.col("class") * width).cast("int"))).alias("placed"),
-        (F.col("class") + F.when(F.col("m") == FEW, F.lit(0)).otherwise(F.lit(FEW))).alias("slot"), block_key.alias("key"),
-    )
-    slots = range(FEW + MORE)
-    usual = dealt.groupBy("line").agg(F.first("n").alias("n"), F.first("times").alias("times"), F.bit_or("placed").alias("sim"), *[F.max(F.when(F.col("slot") == j, F.col("key"))).alias(f"k{j}") for j in slots])
-    usual = usual.select("line", "n", "times", "sim", F.array_compact(F.array(*[f"k{j}" for j in slots])).alias("keys"))
-
-    # a line has no more features than characters
-    large = one.where(F.col("n") >= int(0.9 * MANY)).select("line", "n", "times", features(F.col("norm")).alias("features")).where(size >= 0.9 * MANY)
-    large = large.select("line", "n", "times", F.lit(HUGE).cast("long").alias("m"), F.lit(False).alias("lead"), F.array_distinct("features").alias("features"))
-    huge = blocks(large).groupBy("line").agg(F.first("n").alias("n"), F.first("times").alias("times"), F.lit(None).cast("long").alias("sim"), F.collect_list(block_key).alias("keys"))
-
+    kept = F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), width) - F.lit(1)).cast("int")
+    long = cut.select("line", F.xxhash64("m", "class", "bits").alias("key"), F.col("m").cast("int").alias("m"), F.col("class").cast("int").alias("class"), F.when(F.col("m").isin(FEW, MORE), kept).alias("kept"))
     plan = lines.sparkSession.createDataFrame(pieces(), "n int, shorter int, most int, piece int, first int, size int")
-    short = one.where(F.col("n") < SHORT).join(F.broadcast(plan), "n")
-    short = short.select("line", "n", "times", F.lit(None).cast("long").alias("sim"), F.array(F.xxhash64("shorter", "most", "piece", F.expr("substring(norm, first, size)"))).alias("keys"))
-    return usual.union(huge).union(short)
+    short = one.where(n < SHORT).withColumn("n", n).join(F.broadcast(plan), "n")
+    none = F.lit(None).cast("int")
+    return long.union(short.select("line", F.xxhash64("shorter", "most", "piece", F.expr("substring(norm, first, size)")), none, none, none))
 
 
 def _most(length: int) -> int:
@@ -141,9 +138,9 @@ def pieces() -> list[tuple[int, int, int, int, int, int]]:
 
 
 def _near(x: str, y: str) -> Column:
-    """Lengths and SimHashes allow a link; short lines, and those without a SimHash, may be one with any."""
+    """Lengths and SimHashes allow a link; short lines, and those without a SimHash in common, may be one with any."""
     longer, shorter = F.greatest(f"{x}.n", f"{y}.n"), F.least(f"{x}.n", f"{y}.n")
-    apart = F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim")))
+    apart = F.least(*[F.bit_count(F.col(f"{x}.sim{m}").bitwiseXOR(F.col(f"{y}.sim{m}"))) for m in (FEW, MORE)])
     return (longer - shorter <= F.floor((1 - SIMILAR) * longer + 1e-9)) & ((longer < SHORT) | F.coalesce(apart <= DISTANCE, F.lit(True)))
 
 
@@ -172,19 +169,24 @@ def line_links(lines: DataFrame) -> DataFrame:
     component are one family, so a pair is compared once.
     """
     hashed = stored(sim_hashes(lines))
-    keys = hashed.select("line", F.explode("keys").alias("key"))
+    keys = hashed.select("line", "key")
     met = stored(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b"))
     members = stored(_few(keys, met.where("size > 2").select("key", "size"), "key").distinct())
     few, full = members.where(F.col("size") <= HOT), members.where(F.col("size") > HOT)
     within = few.select("key", F.col("line").alias("a")).join(few.select("key", F.col("line").alias("b")), "key").where("a < b").select("a", "b")
     pairs = stored(met.where("size = 2").select("a", "b").union(within).distinct())
     wanted = stored(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(full.select("line")).distinct())
-    looks = _few(hashed.select("line", "n", "times", "sim"), wanted, "line").groupBy("line").agg(F.struct(F.first("n").alias("n"), F.max("sim").alias("sim")).alias("look"), F.first("times").alias("times"))
-    looks, seen = stored(looks), stored(_few(lines, wanted, "line").groupBy("line").agg(F.first("norm").alias("norm")))
+    seen = stored(_few(lines, wanted, "line").groupBy("line").agg(F.first("norm").alias("norm"), F.count("*").alias("times")))
+    places = F.call_function("shiftleft", F.col("kept").cast("long"), F.col("class") * F.floor(60 / F.col("m")).cast("int"))
+    sims = _few(hashed.where("kept is not null"), wanted, "line").groupBy("line").agg(*[F.bit_or(F.when(F.col("m") == k, places)).alias(f"sim{k}") for k in (FEW, MORE)])
+    looks = stored(seen.select("line", F.length("norm").alias("n"), "times").join(sims, "line", "left").select("line", "times", F.struct("n", f"sim{FEW}", f"sim{MORE}").alias("look")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = (seen.select(F.col("line").alias(c), F.col("norm").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-        return stored(pairs.join(x, "a").join(y, "b").where(similar("x", "y")).select("a", "b"))
+        # few bytes but much work: more tasks than the bytes alone would get; the aggregation keeps the comparison behind them
+        both = pairs.join(x, "a").join(y, "b").repartition(4 * partitions(lines.sparkSession), "a", "b")
+        both = both.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+        return stored(both.where(similar("x", "y")).select("a", "b"))
 
     def looked(pairs: DataFrame) -> DataFrame:
         x, y = (looks.select(F.col("line").alias(c), F.col("look").alias(f"s{c}")) for c in "ab")
