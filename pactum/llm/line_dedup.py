@@ -36,7 +36,7 @@ SMALL = 3
 #: Blocks of a line of under and from EDGE characters on; a line that may have a partner on the other side has both.
 FEW, MORE, EDGE = 6, 12, 400
 #: Lines of under THIN characters also have AGAIN blocks, other classes of their few words.
-AGAIN, THIN = 5, 100
+AGAIN, THIN = 5, 400
 #: Lines of MANY characters have HUGE blocks: no count of a block outgrows its lane.
 MANY, HUGE = 131_072, 4096
 #: Features that a block must have to be a key.
