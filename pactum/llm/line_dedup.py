@@ -34,9 +34,9 @@ WORD = 20
 #: Words of up to SMALL letters, the most frequent ones, count together with the word after them.
 SMALL = 3
 #: Blocks of a line of under and from EDGE characters on; a line that may have a partner on the other side has both.
-FEW, MORE, EDGE = 6, 12, 400
+FEW, MORE, EDGE = 6, 12, 200
 #: Lines of under THIN characters also have AGAIN blocks, other classes of their few words.
-AGAIN, THIN = 5, 400
+AGAIN, THIN = 5, 200
 #: Lines of MANY characters have HUGE blocks: no count of a block outgrows its lane.
 MANY, HUGE = 131_072, 4096
 #: Features that a block must have to be a key.
@@ -184,7 +184,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = (seen.select(F.col("line").alias(c), F.col("norm").alias(v)) for c, v in (("a", "x"), ("b", "y")))
         # few bytes but much work: more tasks than the bytes alone would get; the aggregation keeps the comparison behind them
-        both = pairs.join(x, "a").join(y, "b").repartition(4 * partitions(lines.sparkSession), "a", "b")
+        both = pairs.join(x, "a").join(y, "b").repartition(partitions(lines.sparkSession), "a", "b")
         both = both.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
         return stored(both.where(similar("x", "y")).select("a", "b"))
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import stored
+from pactum.llm.shared import partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -23,6 +23,13 @@ BLOCK = 2000
 #: Documents of a source that are left to the landing.
 RESERVE = 12
 EPS = 1e-9
+#: Sources whose counts are broadcast at most.
+SOURCES = 100_000
+
+
+def _small(by_source: DataFrame) -> DataFrame:
+    """Marked for a broadcast if there are no more than SOURCES rows."""
+    return by_source if by_source.limit(SOURCES + 1).count() > SOURCES else F.broadcast(by_source)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -124,7 +131,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     # one row a source; its size is that of the sources
     placed = units.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     goal = goals.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("s"), "source_size", "target", ratio.alias("ratio"))
-    full = placed.join(goal, "s").withColumn("hash", F.xxhash64("key", "row"))
+    full = placed.join(_small(goal), "s").withColumn("hash", F.xxhash64("key", "row"))
     start = full.select("s", "doc_id", "size", "row", "key", "hash", "source_size", "target", F.floor("ratio").cast("int").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("p"))
     start = stored(start)
 
@@ -139,7 +146,9 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     decided = None
     while True:
         counts = todo.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-        dealt = todo.join(counts, "s").select("s", "key", "row", "size", "hash", "p", F.pmod("hash", "blocks").alias("block"), (F.col("blocks") == 1).alias("last"))
+        # one row of 16 bytes a source; a join by shuffle would leave all blocks of a source in one task
+        dealt = todo.join(_small(counts), "s").select("s", "key", "row", "size", "hash", "p", F.pmod("hash", "blocks").alias("block"), (F.col("blocks") == 1).alias("last"))
+        dealt = dealt.repartition(partitions(docs.sparkSession), "s", "block")
         flown = stored(dealt.groupBy("s", "block").applyInPandas(flight, kind))
         done = flown.where("p <= 0 or p >= 1").select("key", "row", F.col("p").cast("int").alias("extra"))
         decided = done if decided is None else decided.union(done)
@@ -153,9 +162,17 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as it is taken, with all its columns.
 
-    Rows that are the same in doc_id, source and text are taken together: the first of them stands for all.
+    Rows that are the same in doc_id, source and text share their times, dealt to them in turn, each with its own other
+    columns, which may have any names.
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), "source", "text")
-    plan = mix_sources(docs).groupBy("key").agg(F.sum("times").cast("int").alias("times")).where("times > 0").select(F.col("key").alias("__key"), F.col("times").alias("__times"))
-    first = docs.withColumn("__key", key).dropDuplicates(["__key"])
-    return first.join(plan, "__key").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    plan = stored(mix_sources(docs).groupBy("key").agg(F.sum("times").cast("int").alias("times"), F.count("*").alias("rows")).where("times > 0"))
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("key"))
+    # rows of one key are the same in what the mix looks at; the times of a key are dealt to its rows in turn
+    taken = rows.join(plan.where("rows = 1").select("key", "times"), "key").select("doc", "times")
+    if not plan.where("rows > 1").isEmpty():
+        shared = rows.join(plan.where("rows > 1").select("key", "times", "rows"), "key")
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc"))) - 1
+        several = shared.withColumn("turn", turn).select("doc", (F.floor(F.col("times") / F.col("rows")) + (F.col("turn") < F.col("times") % F.col("rows")).cast("int")).cast("int").alias("times")).where("times > 0")
+        taken = taken.union(several)
+    return taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -27,8 +27,10 @@ WINDOW = 13
 LENGTHS = (1, 2, 4, WINDOW)
 #: Suffixes of a group at most, but for the last length; bytes of text that are packed at once.
 BOUND, PIECE = 4_000_000, 6 << 20
-#: Counts of bins that travel in one row.
-CHUNK = 1024
+#: Counts of bins that travel in one row; marks that a task holds before it hands them on.
+CHUNK, MARKS = 1024, 2_000_000
+#: Bytes of text in a bucket, which one task cuts at once, and in a bin of prefixes, if they were spread evenly.
+BUCKET, BIN = 6 << 20, 2 << 20
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -118,30 +120,49 @@ def repeats(docs: DataFrame, bins: int, buckets: int, bound: int) -> DataFrame:
             blobs = [(raw[a:b].tobytes(), _packed(doc[a:b]), _packed(place[a:b])) for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(3))], names=["grp", "window", "doc", "place"])
 
-    def answer(doc: np.ndarray, place: np.ndarray, check: np.ndarray) -> pa.Table:
+    def answer(doc: np.ndarray, place: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
         bucket = (mix(doc.astype(U64)) % U64(buckets)).astype(np.int64)
         order = np.lexsort((place, doc, bucket))
         b, first = np.unique(bucket[order], return_index=True)
         cut = [*first.tolist(), len(order)]
         parts = [order[x:y] for x, y in zip(cut, cut[1:])]
-        return pa.table([pa.array(b), pa.array([_packed(doc[p]) for p in parts], pa.binary()), pa.array([_packed(place[p]) for p in parts], pa.binary()), pa.array([check[p].tobytes() for p in parts], pa.binary())], names=["bucket", "doc", "place", "check"])
+        return pa.RecordBatch.from_arrays([pa.array(b), pa.array([_packed(doc[p]) for p in parts], pa.binary()), pa.array([_packed(place[p]) for p in parts], pa.binary()), pa.array([check[p].tobytes() for p in parts], pa.binary())], names=["bucket", "doc", "place", "check"])
 
-    def subtree(group: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(group["window"].to_pylist()), np.uint8).reshape(-1, 7)
+    def subtree(blobs: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(x[0] for x in blobs), np.uint8).reshape(-1, 7)
         window = np.zeros((len(raw), 8), np.uint8)
         window[:, :7] = raw
         window = window.view("<u8").ravel()
-        doc = np.concatenate([_unpacked(x) for x in group["doc"].to_pylist()])
-        place = np.concatenate([_unpacked(x) for x in group["place"].to_pylist()])
+        doc = np.concatenate([_unpacked(x[1]) for x in blobs])
+        place = np.concatenate([_unpacked(x[2]) for x in blobs])
         order = np.argsort(window, kind="stable")
         leaves = window[order]
         heads = np.flatnonzero(np.r_[True, leaves[1:] != leaves[:-1]])
         smallest = np.minimum.reduceat(doc[order], heads)
         late = order[doc[order] > np.repeat(smallest, np.diff(np.r_[heads, len(order)]))]
-        return answer(doc[late], place[late], window[late].astype("<u2"))
+        return doc[late], place[late], window[late].astype("<u2")
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come one after another; marks are gathered over many of them, so rows follow the marks and not the groups."""
+        now, blobs, marks, held = None, [], [], 0
+        for batch in batches:
+            for group, *blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != now and blobs:
+                    marks.append(subtree(blobs))
+                    held, blobs = held + len(marks[-1][0]), []
+                now = group
+                blobs.append(tuple(blob))
+                if held >= MARKS:
+                    yield answer(*(np.concatenate(x) for x in zip(*marks)))
+                    marks, held = [], 0
+        if blobs:
+            marks.append(subtree(blobs))
+        if sum(len(m[0]) for m in marks):
+            yield answer(*(np.concatenate(x) for x in zip(*marks)))
 
     kind = "bucket long, doc binary, place binary, check binary"
-    found = docs.mapInArrow(pack, "grp long, window binary, doc binary, place binary").groupBy("grp").applyInArrow(subtree, kind)
+    packed = docs.mapInArrow(pack, "grp long, window binary, doc binary, place binary")
+    found = packed.repartition(partitions(docs.sparkSession), "grp").sortWithinPartitions("grp").mapInArrow(subtrees, kind)
     if not split[-1].any():
         return found
 
@@ -153,7 +174,7 @@ def repeats(docs: DataFrame, bins: int, buckets: int, bound: int) -> DataFrame:
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             window, doc, place = (c.to_numpy() for c in batch.columns)
-            yield from answer(doc, place, window.view(U64).astype("<u2")).to_batches()
+            yield answer(doc, place, window.view(U64).astype("<u2"))
 
     rows = docs.mapInArrow(loose, "window long, doc long, place long")
     smallest = rows.groupBy("window").agg(F.min("doc").alias("smallest"))
@@ -170,8 +191,8 @@ def substring_dedup(docs: DataFrame, bound: int = BOUND, with_text: bool = False
     no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = partitions(docs.sparkSession)
-    bins, buckets = 16 * n, 4 * n
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bins, buckets = max(64, -(-size // BIN)), max(8, -(-size // BUCKET))
     marks = repeats(docs, bins, buckets, bound)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,10 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     whole = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     first = whole.where(F.col("page_id").isNotNull() & (F.col("size") >= LEAST_REVISIT)).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
     refers = F.when((F.col("size") >= LEAST_REVISIT) & (F.col("original") > F.col("page_id")), F.col("original"))
-    rows = whole.join(first, "digest", "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "size", "digest", refers.alias("refers_to"))
+    # payloads that are always written whole take no part in the join, however often they occur
+    large = (F.col("size") >= LEAST_REVISIT) & F.col("page_id").isNotNull()
+    joined = whole.where(large).join(first, "digest", "left").select(*whole.columns, "original")
+    rows = joined.union(whole.where(~large).withColumn("original", F.lit(None).cast("long"))).select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "size", "digest", refers.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = pa.fs.FileSystem.from_uri(folder)
