@@ -67,9 +67,19 @@ def quote_form(text: Column) -> Column:
     return replace_all(text, r"[\s·ㆍ,.\"'“”‘’「」()\[\]]", "")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), where value is worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def count_of(text: Column, letters: str) -> Column:
+    """How many characters of the text are of the class: its length without what is left when they go."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{letters}]+", ""))
+
+
 def letter_ratio(text: Column, wanted: str = "가-힣", all_letters: str = "가-힣a-zA-Z一-鿿") -> Column:
     """Share of letters that are wanted; 0 without letters."""
-    return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(f"[{wanted}]")).cast("double"), F.regexp_count(text, F.lit(f"[{all_letters}]"))), F.lit(0.0))
+    return F.coalesce(F.try_divide(count_of(text, wanted).cast("double"), count_of(text, all_letters)), F.lit(0.0))
 
 
 def term_hits(text: Column, terms: list[str]) -> Column:
@@ -87,7 +97,7 @@ def order_score(text: Column, pattern: str = r"제\s*(\d+)\s*조") -> Column:
 
 def extraction_score(text: Column, terms: list[str], wanted: str = "가-힣", all_letters: str = "가-힣a-zA-Z一-鿿") -> Column:
     """How well a text was extracted, 0 to 1: wanted letters, known terms and numbers in order, less for font codes and few letters."""
-    letters = F.regexp_count(text, F.lit(f"[{all_letters}]"))
+    letters = count_of(text, all_letters)
     codes = F.regexp_count(text, F.lit(r"\(cid:\d+\)"))
     known = F.least(F.size(term_hits(text, terms)) / F.lit(8.0), F.lit(1.0))
     base = 0.45 * letter_ratio(text, wanted, all_letters) + 0.25 * known + 0.30 * order_score(text)
@@ -96,7 +106,7 @@ def extraction_score(text: Column, terms: list[str], wanted: str = "가-힣", al
 
 
 def looks_broken(text: Column, terms: list[str], wanted: str = "가-힣", all_letters: str = "가-힣a-zA-Z一-鿿") -> Column:
-    return (F.regexp_count(text, F.lit(f"[{all_letters}]")) < 30) | (letter_ratio(text, wanted, all_letters) < 0.4) | (F.size(term_hits(text, terms)) < 2)
+    return (count_of(text, all_letters) < 30) | (letter_ratio(text, wanted, all_letters) < 0.4) | (F.size(term_hits(text, terms)) < 2)
 
 
 def tokens(text: Column) -> Column:
@@ -154,7 +164,7 @@ def sentence_around_first(text: Column, pattern: str) -> Column:
 
 def reading_score(text: Column, terms: list[str], wanted: str = "가-힣", all_letters: str = "가-힣a-zA-Z一-鿿") -> Column:
     """How well a text was recognised: half for wanted letters, the rest for known terms and for length."""
-    letters = F.regexp_count(text, F.lit(f"[{all_letters}]"))
+    letters = count_of(text, all_letters)
     known = F.least(F.size(term_hits(text, terms)) / F.lit(6.0), F.lit(1.0))
     return 0.5 * letter_ratio(text, wanted, all_letters) + 0.35 * known + 0.15 * F.least(letters / F.lit(300.0), F.lit(1.0))
 

@@ -62,9 +62,9 @@ def letter_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of three readings of each document: as it is, its first 400 characters, and with every letter e lost."""
+    """The best of three readings of each document: as it is, its first half, and with every letter e lost."""
     d = _table(spark, sf_dir, "documents")
-    ways = [("whole", F.col("text")), ("half", F.substring("text", 1, 400)), ("lossy", F.replace("text", F.lit("e"), F.lit("")))]
+    ways = [("whole", F.col("text")), ("half", F.expr("left(text, length(text) div 2)")), ("lossy", F.replace("text", F.lit("e"), F.lit("")))]
     tries = None
     for k, (name, t) in enumerate(ways):
         one = d.select("doc_id", F.lit(name).alias("engine"), F.lit(k).alias("engine_ord"), t.alias("text"))
@@ -239,7 +239,7 @@ ORACLE_SQL = {
         SELECT doc_id, reason = 'ok' AS ok, reason, CASE WHEN reason = 'ok' THEN h < 6 OR n < 200 END AS weak, CASE WHEN reason IN ('ok', 'too_short') THEN n END AS length, CASE WHEN reason <> 'too_short' THEN h END AS terms FROM c""",
     "letter_shares": f"""WITH a AS (SELECT lang, source, {_count('[a-zA-ZÀ-ɏ]')} AS l, coalesce({_count('[a-zA-Z]')} / nullif({_count('[a-zA-ZÀ-ɏ]')}, 0), 0) AS r, {_HITS.replace("contains(t,", "contains(text,")} AS h FROM documents)
         SELECT lang, source, count(*) AS n, round(avg(r), 6) AS mean_ratio, count(*) FILTER (l < 30 OR r < 0.4 OR h < 2) AS n_broken FROM a GROUP BY ALL""",
-    "best_engine": f"""WITH t AS (SELECT doc_id, 'whole' AS engine, 0 AS o, text AS t FROM documents UNION ALL SELECT doc_id, 'half', 1, left(text, 400) FROM documents UNION ALL SELECT doc_id, 'lossy', 2, replace(text, 'e', '') FROM documents),
+    "best_engine": f"""WITH t AS (SELECT doc_id, 'whole' AS engine, 0 AS o, text AS t FROM documents UNION ALL SELECT doc_id, 'half', 1, left(text, length(text) // 2) FROM documents UNION ALL SELECT doc_id, 'lossy', 2, replace(text, 'e', '') FROM documents),
         s AS (SELECT *, round_even((0.45 * coalesce({_count('[a-zA-Z]', 't')} / nullif({_count('[a-zA-ZÀ-ɏ]', 't')}, 0), 0) + 0.25 * least(({_HITS}) / 8.0::DOUBLE, 1) + 0.3) * CASE WHEN {_count('[a-zA-ZÀ-ɏ]', 't')} < 50 THEN 0.3 ELSE 1 END, 4) AS score FROM t)
         SELECT doc_id, engine, score, tried FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, o) AS k, count(*) OVER (PARTITION BY doc_id) AS tried FROM s) WHERE k = 1""",
     "mail_spans": """WITH m AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9_.]+'))) AS value FROM documents),
