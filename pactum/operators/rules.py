@@ -145,8 +145,8 @@ def run_rules(clauses: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 def with_quotes(findings: DataFrame, laws: DataFrame) -> DataFrame:
     """Findings with the quoted sentence of their law (id, text, ...), the last one if there are fewer, the whole text if
-    there is none; findings of unknown laws go. The law table has a row for each article of the statutes in use."""
+    there is none; findings of unknown laws have no quote. The law table has a row for each article of the statutes in use."""
     parts = law_sentences(F.col("law_text"))
     quoted = laws.select(F.col("id").alias("law_id"), F.col("text").alias("law_text")).withColumn("parts", parts)
     pick = F.least(F.col("sentence"), F.size("parts") - 1)
-    return findings.join(quoted, "law_id").withColumn("quote", F.when(F.size("parts") == 0, F.col("law_text")).otherwise(F.get("parts", pick))).drop("parts")
+    return findings.join(quoted, "law_id", "left").withColumn("quote", F.when(F.size("parts") == 0, F.col("law_text")).otherwise(F.get("parts", pick))).drop("parts")

@@ -125,3 +125,29 @@ def test_quotes_from_the_whole_document(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = texts.quoted_items(spark, str(tmp_path)).where("passes").collect()
     assert [(r.doc_id, r.item_id, r["rank"]) for r in got] == [(3, 2, 1)]
+
+
+def test_reply_is_the_first_balanced_object(spark):
+    good = '{"severity": "ok", "reason": "a {b} c"}'
+    raw = [f"{good} and {{\"severity\": \"violation\"}}", f"text }} before {good}", f"{{not json}} then {good}", '```json\n{"severity": "ok", "reason": "a } b"}\n```', "[1, 2]", "no object {", "", None]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k int, r string").select("k", retrieval.parsed_reply(F.col("r")).alias("x")).orderBy("k").collect()
+    assert [(r.x.severity, r.x.reason) if r.x else None for r in rows] == [("ok", "a {b} c")] * 3 + [("ok", "a } b")] + [None] * 4
+    parts = spark.createDataFrame([("a{b{c}d}e}{f}{g",)], "t string").select(retrieval.balanced_objects(F.col("t")).alias("p")).first().p
+    assert parts == ["{b{c}d}", "{f}"]
+
+
+def test_prompts(spark):
+    laws = spark.createDataFrame([("A-1", "Act", "Article 1", "Pay", "Pay is due."), ("B-2", "Code", "Article 2", "Rest", "Rest is due.")], "id string, law string, article string, title string, text string")
+    offered = spark.createDataFrame([("q", "B-2", 1), ("q", "A-1", 2), ("r", "Z", 1)], "query_id string, law_id string, rank int")
+    clauses = spark.createDataFrame([("q", "No pay."), ("r", "No rest."), ("s", None)], "query_id string, text string")
+    got = retrieval.prompts(clauses, offered, laws, "Clause: {clause}\nLaws:\n{laws}\n.").collect()
+    assert [tuple(r) for r in got] == [("q", "Clause: No pay.\nLaws:\nid: B-2\nCode Article 2(Rest)\nRest is due.\n\nid: A-1\nAct Article 1(Pay)\nPay is due.\n.")]
+
+
+def test_saved_model(spark, tmp_path):
+    rows = spark.createDataFrame([("pay is late", "A"), ("pay is due late", "A"), ("rest is short", "B"), ("short rest again", "B")], "text string, label string")
+    model = classifier.train(rows, 500, 5)
+    assert classifier.load(spark, str(tmp_path / "none")) is None
+    classifier.save(model, str(tmp_path / "model"))
+    again = classifier.load(spark, str(tmp_path / "model"))
+    assert [tuple(r) for r in classifier.predict(again, rows).collect()] == [tuple(r) for r in classifier.predict(model, rows).collect()]
