@@ -180,8 +180,8 @@ class Encoder:
                 out[i] = [self.special[w]]
         return out
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What ``solve`` gave for each text's pretokens, end to end, and where each text begins in it."""
+    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pretokens and special strings begin, and their lengths."""
         spans = self._special_spans(data, offsets)
         starts, lens, _ = pretokens(data, np.union1d(offsets, np.asarray(spans, np.int64).ravel()) if spans else offsets)
         if spans:
@@ -190,9 +190,18 @@ class Encoder:
             keep = (inside < 0) | (starts >= b[inside]) | (starts == a[inside])
             starts = starts[keep]
             lens = np.diff(np.r_[starts, len(data)])
+        return starts, lens
+
+    def solved(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``solve`` gave for the pretokens, end to end, and how much for each."""
         slots = self.memo.look_up(data, starts, lens) if len(starts) else np.zeros(0, np.int64)
         size = self.memo.size[slots]
-        ids = self.memo.flat[ranges(self.memo.begin[slots], size)]
+        return self.memo.flat[ranges(self.memo.begin[slots], size)], size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``solve`` gave for each text's pretokens, end to end, and where each text begins in it."""
+        starts, lens = self.split(data, offsets)
+        ids, size = self.solved(data, starts, lens)
         return ids, np.r_[0, np.cumsum(size)][np.searchsorted(starts, offsets)]
 
     def _special_spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:

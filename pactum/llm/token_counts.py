@@ -6,16 +6,16 @@ need hold no more than the places p from which a vocabulary string can still gro
 the vocabulary, the last token before p, and the count of tokens before p against the count at i. A transition reads
 a byte, and its annotation is the change of the count. States and transitions are compiled when first needed.
 
-Texts are cut into chunks. A chunk's state map takes each state it may start in to the end state and the tokens
-emitted. At pretoken borders all states go to the start state, so maps of such chunks are plain counts, and their
-composition is a prefix sum. Longer chunks (pretokens over ``BLOCK`` bytes) have maps with several states, composed
-pairwise in a tree.
+Texts are cut into chunks of ``CHUNK`` bytes, wherever that falls. A chunk's state map takes each state it may start
+in to the state at its end and the tokens emitted on the way; the maps of a text are composed pairwise in a tree. At
+pretoken borders all states go to the start state, so of what lies between a chunk's first and last border only a count
+is needed, and pretokens that lie in one chunk are counted once for all their places.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,35 @@ from pyspark.sql import DataFrame
 from pactum.llm.buffers import pieces
 from pactum.llm.pretokens import Encoder, Vocabulary, vocabulary
 
-BLOCK = 4096
-#: Bytes before a block that are read to guess the states it may start in, and from how many places.
+CHUNK = 1024
+#: Bytes before a chunk that are read to guess the states it may start in within a pretoken, and from how many places.
 LOOK_BACK, GUESSES = 64, 8
 START = 0
 NEVER = 1 << 60
 
 
+class StateMap(dict):
+    """What a chunk does to some states: (state at its end, tokens emitted). Others are worked out when they are asked for."""
+
+    def __init__(self, states: set[int], run: Callable[[int], tuple[int, int]]):
+        super().__init__((s, run(s)) for s in states)
+        self.run = run
+
+    def __missing__(self, state: int) -> tuple[int, int]:
+        return self.setdefault(state, self.run(state))
+
+
+def compose(one: StateMap, two: StateMap) -> StateMap:
+    """The map of two chunks in a row."""
+
+    def both(state: int) -> tuple[int, int]:
+        mid, n = one[state]
+        end, m = two[mid]
+        return end, n + m
+
+    return StateMap(set(one), both)
+
+
 class Transducer:
     """State 0 is the start of a pretoken. ``limit`` bounds the transitions that are held; beyond it they are compiled anew."""
 
@@ -137,36 +159,63 @@ class Transducer:
             total += (got & 255) - 128
         return state, total
 
-    def map_of(self, body: bytes, states) -> dict[int, tuple[int, int]]:
-        """A chunk's state map on some of the states."""
-        return {s: self.run(body, s) for s in states}
-
-    def compose(self, one: tuple[dict, bytes], two: tuple[dict, bytes]) -> tuple[dict, bytes]:
-        """The map of two chunks in a row. A state that was not foreseen for the second is run through it."""
-        out = {}
-        for s, (mid, n) in one[0].items():
-            if mid not in two[0]:
-                two[0][mid] = self.run(two[1], mid)
-            end, m = two[0][mid]
-            out[s] = (end, n + m)
-        return out, one[1] + two[1]
-
-    def count(self, pretoken: bytes) -> int:
-        if len(pretoken) <= BLOCK:
-            return self.run(pretoken)[1]
-        maps = []
-        for at in range(0, len(pretoken), BLOCK):
-            guesses = {START} if not at else {self.run(pretoken[at - LOOK_BACK + k : at])[0] for k in range(GUESSES)}
-            body = pretoken[at : at + BLOCK]
-            maps.append((self.map_of(body, guesses), body))
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0][0][START][1]
+    def before(self, pretoken: bytes) -> set[int]:
+        """States that a chunk may start in after this part of a pretoken: the one it ends in or, if it is long, guesses from its last bytes."""
+        if len(pretoken) <= LOOK_BACK:
+            return {self.run(pretoken)[0]}
+        return {self.run(pretoken[-LOOK_BACK + k :])[0] for k in range(GUESSES)}
 
     def counts(self, pretokens: list[bytes]) -> list[list[int]]:
         if len(self.steps) > self.limit:
             self._reset()
-        return [[self.count(w)] for w in pretokens]
+        return [[self.run(w)[1]] for w in pretokens]
+
+
+def state_map(machine: Transducer, first: bytes, entered: set[int], between: int, last: bytes | None) -> StateMap:
+    """The map of a chunk: the rest of a pretoken that began before it, a count of whole ones, the begin of one that goes on.
+
+    ``last`` is None if the chunk lies within one pretoken, of which ``first`` is the part.
+    """
+    if last is None:
+        return StateMap(entered, functools.partial(machine.run, first))
+    end, n = machine.run(last)
+    return StateMap(entered, lambda state: (end, machine.run(first, state)[1] + between + n))
+
+
+def text_counts(machine: Transducer, encoder: Encoder, data: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """Tokens of each text, from the state maps of its chunks."""
+    starts, lens = encoder.split(data, offsets)
+    cuts = np.maximum(np.diff(offsets) - 1, 0) // chunk
+    own = np.repeat(np.arange(len(cuts)), cuts)
+    at = offsets[own] + chunk * (1 + np.arange(len(own)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    holder = np.searchsorted(starts, at, side="right") - 1
+    inside = starts[holder] < at
+    special = np.array([data[a : a + n].tobytes() in encoder.special for a, n in zip(starts[holder[inside]].tolist(), lens[holder[inside]].tolist())], bool)
+    inside[np.flatnonzero(inside)[special]] = False  # a special string counts where it begins
+    whole = np.ones(len(starts), bool)
+    whole[holder[inside]] = False
+    total = np.zeros(len(starts) + 1, np.int64)
+    total[1:][whole] = encoder.solved(data, starts[whole], lens[whole])[0]
+    total = np.cumsum(total)
+    counts = np.diff(total[np.searchsorted(starts, offsets)])
+    # (place, begin and end of the pretoken that is cut there) of the cuts of each text that has some
+    places = list(zip(at.tolist(), np.where(inside, starts[holder], at).tolist(), np.where(inside, starts[holder] + lens[holder], at).tolist()))
+    upto = total[np.searchsorted(starts, at)].tolist()
+    body, done = data.tobytes(), 0
+    for text in np.flatnonzero(cuts).tolist():
+        here = slice(done, done + int(cuts[text]))
+        done = here.stop
+        begin, stop = int(offsets[text]), int(offsets[text + 1])
+        edges = [(begin, begin, begin), *places[here], (stop, stop, stop)]
+        sums = [int(total[np.searchsorted(starts, begin)]), *upto[here], int(total[np.searchsorted(starts, stop)])]
+        maps = []
+        for (a, head, tail), (b, head_b, _), low, high in zip(edges, edges[1:], sums, sums[1:]):
+            first, entered = body[a : min(tail, b)], machine.before(body[head:a]) if head < a else {START}
+            maps.append(state_map(machine, first, entered, high - low, None if head_b < a else body[head_b:b]))
+        while len(maps) > 1:
+            maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        counts[text] = maps[0][START][1]
+    return counts
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,8 +231,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 1024, id_co
         encoder = Encoder({s.encode(): 1 for s in vocab.special}, transducer.counts)
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column(1)):
-                counts, ptr = encoder.encode(data, offsets)
-                n = np.diff(np.r_[0, np.cumsum(counts, dtype=np.int64)][ptr])
+                n = text_counts(transducer, encoder, data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()

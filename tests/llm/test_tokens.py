@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -73,15 +75,25 @@ def test_counts(docs, texts, library):
 def test_state_maps_compose():
     machine = token_counts.Transducer(vocabulary(PATH))
     body = b"therestingandthenagain" * 30
-    whole = machine.run(body)
-    maps = [(machine.map_of(body[i : i + 50], {0}), body[i : i + 50]) for i in range(0, len(body), 50)]
-    left = maps[0]
-    for m in maps[1:]:
-        left = machine.compose(left, m)
-    right = maps[-1]
-    for m in maps[-2::-1]:
-        right = machine.compose(m, right)
-    assert left[0][0] == right[0][0] == whole
+    maps = [token_counts.state_map(machine, body[i : i + 50], {token_counts.START}, 0, None) for i in range(0, len(body), 50)]
+    left, right = functools.reduce(token_counts.compose, maps), functools.reduce(lambda x, y: token_counts.compose(y, x), maps[::-1])
+    assert left[token_counts.START] == right[token_counts.START] == machine.run(body)
+
+
+@pytest.mark.parametrize("chunk", [7, 64, token_counts.CHUNK])
+def test_counts_come_from_composed_maps(monkeypatch, library, texts, chunk):
+    """Of n chunks n - 1 pairs are composed, in real texts and in made ones with long pretokens and special strings."""
+    real = [r["text"] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).to_pylist()]
+    some = [t or "" for t in real + texts] if chunk > 7 else [t or "" for t in texts if len(t or "") < 1000]
+    pairs = []
+    monkeypatch.setattr(token_counts, "compose", lambda x, y, compose=token_counts.compose: pairs.append(1) or compose(x, y))
+    machine = token_counts.Transducer(vocabulary(PATH))
+    encoder = token_counts.Encoder({s.encode(): 1 for s in vocabulary(PATH).special}, machine.counts)
+    bodies = [t.encode() for t in some]
+    offsets = np.r_[0, np.cumsum([len(b) for b in bodies])]
+    got = token_counts.text_counts(machine, encoder, np.frombuffer(b"".join(bodies), np.uint8), offsets, chunk)
+    assert got.tolist() == [len(ids_of(library, t)) for t in some]
+    assert len(pairs) == sum(max(0, -(-len(b) // chunk) - 1) for b in bodies) > 0
 
 
 def test_token_files(spark, docs, texts, library):
