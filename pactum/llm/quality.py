@@ -11,13 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.llm.buffers import MIX1, U64, gram_rows, grams, mix, owners, pieces, span_hashes, words
 
-#: Labelled rows of each class that the model is fitted on at most; bits of the feature hash; probability from which a text is good.
-SAMPLE, BITS, GOOD = 1500, 18, 0.3
+#: Labelled rows of each class that the model is fitted on at most, and bytes of their texts in all and of one; bits of the feature hash; probability from which a text is good.
+SAMPLE, BYTES, LONGEST, BITS, GOOD = 1500, 128 << 20, 1 << 20, 18, 0.3
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 10, 5, 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -68,18 +68,33 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * counts["n_words"])
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts in UTF-8, those beyond ASCII hashed, and where each text begins in them."""
+    begins = (data & 0xC0) != 0x80
+    at = np.flatnonzero(begins)
+    code = data[at].astype(np.uint32)
+    more = np.flatnonzero(code > 127)
+    sizes = np.diff(np.r_[at, len(data)])[more]
+    for k in range(1, 4):
+        longer = more[sizes > k]
+        code[longer] = code[longer] * np.uint32(64) + data[at[longer] + k]
+    code[more] = mix(code[more].astype(U64)).astype(np.uint32)
+    return code, np.r_[0, np.cumsum(begins)][offsets]
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(feature, text) of every word, pair of words and three bytes."""
+    """(feature, text) of every word, pair of words and three characters."""
     starts, lens, ptr = words(data, offsets)
     hashes, own = span_hashes(data, starts, lens), owners(ptr)
     shift = U64(64 - BITS)
     pairs = gram_rows(ptr, 2)
     out = [((hashes * MIX1) >> shift, own), (mix(grams(hashes, 2)[pairs] + U64(7)) >> shift, own[pairs])]
-    if len(data) > 2:
-        three = data[:-2].astype(np.uint32) | data[1:-1].astype(np.uint32) << np.uint32(8) | data[2:].astype(np.uint32) << np.uint32(16)
-        byte_own = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-        whole = np.flatnonzero(byte_own[:-2] == byte_own[2:])
-        out.append((((three * np.uint32(2654435761)) >> np.uint32(32 - BITS))[whole], byte_own[whole]))
+    code, first = characters(data, offsets)
+    if len(code) > 2:
+        three = code[:-2] + code[1:-1] * np.uint32(1 << 8) + code[2:] * np.uint32(1 << 16)
+        code_own = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))
+        whole = np.flatnonzero(code_own[:-2] == code_own[2:])
+        out.append((((three * np.uint32(2654435761)) >> np.uint32(32 - BITS))[whole], code_own[whole]))
     return out
 
 
@@ -133,11 +148,14 @@ def fit(texts: pa.Array, good: np.ndarray, rounds: int = 60, rate: float = 0.3,
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, float] | None:
     """Fits the model on at most ``sample`` labelled rows a class; None if one of the classes has no row.
 
-    Rows without an id, a label or a text don't count.
+    Rows without an id, a label or a text don't count. A repeated id counts once, with the first of its texts and its worst
+    label. Texts of over LONGEST bytes take no part in the fit, nor what comes after BYTES in order of the ids' hashes.
     """
+    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = [labels.where((F.col("quality") == c) & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     # at most 2 * sample rows of 12 bytes
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    chosen = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST).join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    rows = chosen.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [*batches]
@@ -150,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([a]), pa.array([b])], names=["w", "a", "b"])
 
     keyed = rows.select(F.xxhash64("doc_id").alias("key"), F.col("quality").cast("int"), "text")
-    got = keyed.repartition(1).mapInArrow(one, "w binary, a double, b double").collect()
+    # the bounded sample alone lies in one task
+    within = keyed.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("key", "text"))).where(F.col("bytes") <= BYTES).drop("bytes")
+    got = within.mapInArrow(one, "w binary, a double, b double").collect()
     return (np.frombuffer(got[0].w, np.float32), got[0].a, got[0].b) if got else None
 
 

@@ -145,10 +145,34 @@ def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     fitted, held = labels.where("doc_id % 3 > 0"), labels.where("doc_id % 3 = 0")
-    got = quality.rate(docs, quality.train(docs, fitted)).join(held, "doc_id").select("kept", "quality", "base_failed").collect()
+    got = quality.rate(docs, quality.train(docs, fitted)).join(held, "doc_id").select("kept", "quality", "base_failed", "probability").collect()
     good = [r.kept for r in got if r.quality == 1 and not r.base_failed]
     bad = [r.kept for r in got if r.quality == 0]
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.15
+    # calibration: classes weigh alike, so weighted rows of a bin are good about as often as the bin's probabilities say
+    p, y = np.array([r.probability for r in got]), np.array([r.quality for r in got], float)
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    assert abs((weight * p).sum() - 0.5) <= 0.05
+    bins = np.minimum((p * 5).astype(int), 4)
+    error = sum(abs((weight * (p - y))[bins == b].sum()) for b in range(5))
+    assert error <= 0.08
+
+
+def test_quality_characters_and_sample(spark):
+    texts = ["", "abc", "aé漢😀b", "漢字かな", "é"]
+    data, offsets = quality.pieces(pa.array(texts), 1 << 30).__next__()[2:]
+    code, first = quality.characters(data, offsets)
+    assert np.diff(first).tolist() == [len(t) for t in texts]
+    same = {}
+    for c, x in zip("".join(texts), code.tolist()):
+        assert same.setdefault(c, x) == x
+    assert len(set(same.values())) == len(same)
+    # repeated ids and long texts change nothing, whatever their number
+    rows = [(i, f"{'good fine' if i % 2 else 'bad poor'} w{i} " * 12) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int")
+    long = [(40, "good " * 300_000)]
+    want, got = (quality.train(frame(spark, r), labels) for r in (rows, rows * 3 + long))
+    assert np.array_equal(want[0], got[0]) and want[1:] == got[1:]
 
 
 def test_quality_odd_rows(spark):
