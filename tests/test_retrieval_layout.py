@@ -151,3 +151,57 @@ def test_saved_model(spark, tmp_path):
     classifier.save(model, str(tmp_path / "model"))
     again = classifier.load(spark, str(tmp_path / "model"))
     assert [tuple(r) for r in classifier.predict(again, rows).collect()] == [tuple(r) for r in classifier.predict(model, rows).collect()]
+
+
+def test_tiers_and_toggles(spark):
+    from pactum.operators import tiers
+
+    rows = [(1, 1, "근로자는 위약금 100원을 배상한다.", 1, "t"), (1, 2, "둘째 조항은 평범하다.", 2, None), (2, 1, None, None, "x"), (None, 1, "해고는 문자로 통보한다.", None, None)]
+    clauses = spark.createDataFrame(rows, "doc_id int, clause_seq int, text string, article_no int, title string")
+    tier = lambda name: lambda c: c.where("doc_id = 1").select("doc_id", "clause_seq", F.lit(9).alias("rule_ord"), F.lit(name).alias("rule"), F.lit("L").alias("law_id"), F.lit("unfavorable").alias("severity"), F.lit(0).alias("sentence"), F.lit(name).alias("source"))
+    names = lambda **k: sorted((r.doc_id or 0, r.clause_seq, r.rule) for r in tiers.tiered(clauses, **k).collect())
+    assert names() == [(0, 1, "dismissal_written"), (1, 1, "penalty")]
+    assert names(model=tier("model"), judge=tier("llm")) == [(0, 1, "dismissal_written"), (1, 1, "penalty"), (1, 2, "model")]
+    assert names(rules=None, judge=tier("llm")) == [(1, 1, "llm"), (1, 2, "llm")]
+    assert names(rules=None) == []
+    laws = spark.createDataFrame([("근로기준법-제20조", "근로기준법", "제20조", "위약 예정의 금지", "본문")], "id string, law string, article string, title string, text string")
+    found = tiers.tiered(clauses, model=tier("model"))
+    got = {(r.doc_id, r.clause_seq): (r.source_label, r.clause_title, r.law_label, r.law_text) for r in tiers.enriched(found, clauses, laws).collect()}
+    assert got == {(1, 1): ("룰 검사", "제1조 t", "근로기준법 제20조(위약 예정의 금지)", "본문"), (1, 2): ("학습 모델", "", "", ""), (None, 1): ("룰 검사", "", "", "")}
+    assert [(r.clause_seq, r.position) for r in tiers.placed(found).where("doc_id = 1").orderBy("position").collect()] == [(1, 1), (2, 2)]
+    keys = spark.createDataFrame([("근로기준법-제20조",), ("none",)], "id string")
+    assert {r.id: r.law for r in tiers.lookup(laws, keys, "id").collect()} == {"근로기준법-제20조": "근로기준법", "none": None}
+    assert "text" not in tiers.listing(laws).columns
+    assert tiers.tiered(clauses.limit(0), model=tier("model")).count() == 0
+
+
+def test_law_files_and_rows(spark, tmp_path):
+    from pactum.operators import tiers
+    from pactum.sources import readers
+
+    laws = spark.createDataFrame([("L-1", "L", "제1조", "t", "사용자는 근로자에게 임금을 지급하여야 한다. 다만, 그러하지 아니하는 경우도 있다. 짧다.")], "id string, law string, article string, title string, text string")
+    path = str(tmp_path / "laws")
+    for _ in range(2):
+        tiers.write_laws(laws, path)
+    assert [r.id for r in readers.laws(spark, path).collect()] == ["L-1"]
+    labelled = spark.createDataFrame([("x", "A"), ("y", "A")], "text string, label string")
+    rows = tiers.training_rows(labelled, laws)
+    assert [(r.label, r.n) for r in tiers.label_histogram(rows).collect()] == [("A", 2), ("NORMAL", 1)]
+
+
+def test_folds_over_ranges(spark):
+    from pactum.operators import evaluation
+
+    rows = [(k, "a" if k % 10 else None) for k in range(500)] + [(None, "a"), (7, "a")]
+    d = spark.createDataFrame(rows, "key long, label string")
+    got = evaluation.folds(d, "label", "key", 3, ranges=8).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for label in ("a", None):
+        for i, k in enumerate(sorted((k for k, x in rows if x == label), key=lambda k: -1 if k is None else k)):
+            want.setdefault((k, label), []).append(i % 3)
+    have = {}
+    for r in got:
+        have.setdefault((r.key, r.label), []).append(r.fold)
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+    assert evaluation.folds(d.limit(0), "label", "key").count() == 0
