@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, quality, secret_scan, substring_dedup, token_counts, token_files, warc
+from pactum.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, quality, secret_scan, substring_dedup, token_alignment, token_counts, token_files, warc
 from pactum.llm.shared import shared_dir
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +59,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_test(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
-OPERATORS = (op1_token_files, op2_bpe, op3_line_dedup, op4_quality, op5_token_counts, op6_near_dedup, op7_mixing, op8_substring_dedup, op9_warc, op10_fingerprints, op13_secret_scan)
+OPERATORS = (op1_token_files, op2_bpe, op3_line_dedup, op4_quality, op5_token_counts, op6_near_dedup, op7_mixing, op8_substring_dedup, op9_warc, op10_fingerprints, op12_token_alignment, op13_secret_scan)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {
     "op6_near_dedup": """

@@ -25,18 +25,15 @@ from pactum.llm.shared import partitions
 FILE_SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
 
 
-@functools.cache
-def library_encoder(path: str) -> Encoder:
-    """The tokenizers library on each distinct pretoken; pretokens are encoded independently of each other.
-
-    One for each worker process: later tasks find what earlier ones worked out.
-    """
+def library_solver(path: str, plain: bool = False):
+    """The tokenizers library on lists of pretokens, which are encoded independently of each other. plain: special strings are text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    tokenizer.encode_special_tokens = plain
 
     def solve(words: list[bytes]) -> list[list[int]]:
         out = []
@@ -44,7 +41,16 @@ def library_encoder(path: str) -> Encoder:
             out += [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)]
         return out
 
-    return Encoder({s.encode(): i for s, i in vocabulary(path).special.items()}, solve, 1_000_000)
+    return solve
+
+
+@functools.cache
+def library_encoder(path: str) -> Encoder:
+    """The library on each distinct pretoken.
+
+    One for each worker process: later tasks find what earlier ones worked out.
+    """
+    return Encoder({s.encode(): i for s, i in vocabulary(path).special.items()}, library_solver(path), 1_000_000)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 2) -> None:
