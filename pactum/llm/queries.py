@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, quality, secret_scan, substring_dedup, token_alignment, token_counts, token_files, warc
+from pactum.llm import bpe, fingerprints, hard_negatives, line_dedup, mixing, near_dedup, quality, secret_scan, substring_dedup, token_alignment, token_counts, token_files, warc
 from pactum.llm.shared import shared_dir
 
 VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -59,6 +59,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_test(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
 
@@ -67,7 +71,7 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
-OPERATORS = (op1_token_files, op2_bpe, op3_line_dedup, op4_quality, op5_token_counts, op6_near_dedup, op7_mixing, op8_substring_dedup, op9_warc, op10_fingerprints, op12_token_alignment, op13_secret_scan)
+OPERATORS = (op1_token_files, op2_bpe, op3_line_dedup, op4_quality, op5_token_counts, op6_near_dedup, op7_mixing, op8_substring_dedup, op9_warc, op10_fingerprints, op11_hard_negatives, op12_token_alignment, op13_secret_scan)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {
     "op6_near_dedup": """
@@ -97,4 +101,14 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND m > page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND m > page_id THEN m END AS refers_to
         FROM p LEFT JOIN m USING (d)""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+        s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
+              FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
