@@ -84,11 +84,15 @@ def mail_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", "turn", F.size("spans").alias("n_spans"), F.sha2(masking.masked(F.coalesce("text", F.lit("")), F.col("spans")), 256).alias("sha256"))
 
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four best benchmark passages for the first 200 characters' terms of each document, as a query."""
+    """The four best benchmark passages for each document, whose whole text is the query."""
     corpus = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("law_id"), F.col("item_id").alias("pos"), F.col("text").alias("body"))
     queries = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
-    return retrieval.bm25_search(retrieval.bm25_index(corpus), queries).select("query_id", "law_id", F.round("score", 4).alias("score"), "rank")
+    return retrieval.bm25_search(retrieval.bm25_index(corpus), queries, spread=_tasks(spark)).select("query_id", "law_id", F.round("score", 4).alias("score"), "rank")
 
 
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
