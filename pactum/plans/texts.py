@@ -293,7 +293,17 @@ def language_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactum.operators import classifier
 
     d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
-    return classifier.cross_validated(d).select(F.col("key").alias("doc_id"), "label", "fold", "predicted", F.round("confidence", 3).alias("confidence"))
+    return classifier.cross_validated(d, parts=2).select(F.col("key").alias("doc_id"), "label", "fold", "predicted", F.round("confidence", 3).alias("confidence"))
+
+
+def language_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the languages said by models of the other half, by tenths of confidence: how many, how sure on the whole, how many right. No SQL."""
+    from pactum.operators import classifier
+
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
+    said = classifier.cross_validated(d, k=2, parts=2)
+    return classifier.reliability(said).select("bin", "n", F.round("confidence", 3).alias("confidence"), F.round("accuracy", 3).alias("accuracy"))
 
 
 QUERIES["language_classifier"] = language_classifier
+QUERIES["language_reliability"] = language_reliability

@@ -79,7 +79,7 @@ def test_null_safe_matching(spark):
 def test_classifier_learns(spark):
     rows = [(i, f"임금은 매월 {i}일에 지급한다", "wage") for i in range(12)] + [(100 + i, f"휴일은 매주 {i}번 쉬는 날로 한다", "holiday") for i in range(12)]
     d = spark.createDataFrame(rows, "key int, text string, label string")
-    out = classifier.cross_validated(d, 3, 500, 10).collect()
+    out = classifier.cross_validated(d, 3, 1 << 10, 10).collect()
     assert len(out) == 24 and sum(r.predicted == r.label for r in out) >= 22
 
 
