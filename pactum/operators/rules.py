@@ -130,6 +130,19 @@ RULES: list[Rule] = [
 ]
 
 
+HIT = "struct<rule_ord:int,rule:string,law_id:string,severity:string,sentence:int,source:string>"
+
+
+def rule_hits(text: Column, rules: list[Rule] | None = None) -> Column:
+    """The hits of all rules on a text in the order of the rules, as array<HIT>. A null text has none."""
+    found = [F.struct(F.lit(n).alias("rule_ord"), r.column(text).alias("hit")) for n, r in enumerate(RULES if rules is None else rules)]
+    if not found:
+        return F.array().cast(f"array<{HIT}>")
+    kept = F.filter(F.array(*found), lambda x: x["hit"].isNotNull())
+    named = F.transform(kept, lambda x: F.struct(x["rule_ord"], x["hit"]["rule"].alias("rule"), x["hit"]["law_id"].alias("law_id"), x["hit"]["severity"].alias("severity"), x["hit"]["sentence"].alias("sentence"), F.lit("rule").alias("source")))
+    return named.cast(f"array<{HIT}>")
+
+
 def run_rules(clauses: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(doc_id, clause_seq, rule_ord, rule, law_id, severity, sentence, source) of every hit of (doc_id, clause_seq, text).
 

@@ -51,14 +51,17 @@ def _placed(body: Column, parts: Column) -> Column:
     return F.aggregate(parts, start, place)["got"]
 
 
-def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
     """(doc_id, clause_seq, clause_id, article_no, title, text, start, end), one row a clause.
 
     Articles if there are two or more, else parts by a cascade. A signature block in the later part becomes a last
     clause without a number. Clauses under eight characters are skipped, and numbers have no gaps. Offsets are those of
     the cleaned text. Null and empty texts have no clause. All in one projection and one explode: no shuffle.
+
+    ``carry``: columns of docs that each clause keeps. With ``outer``, a document without a clause is a row whose
+    clause_seq and all that follows are null.
     """
-    cleaned = docs.select(F.col(id_col).alias("doc_id"), clean_contract(F.col(text_col)).alias("t"))
+    cleaned = docs.select(F.col(id_col).alias("doc_id"), clean_contract(F.col(text_col)).alias("t"), *carry)
     cut = cleaned.withColumn("sig", _signature_start(F.col("t")))
     body = cut.withColumn("body", F.when(F.col("sig").isNull(), F.col("t")).otherwise(F.substring(F.col("t"), F.lit(1), F.col("sig"))))
     none = F.array().cast("array<string>")
@@ -73,5 +76,6 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(tail) >= P.MIN_CLAUSE,
         F.array(F.struct(F.lit(None).cast("int").alias("article_no"), F.lit("서명란").alias("title"), tail.alias("text"), F.col("sig").alias("start"), F.length("t").alias("end"))),
     ).otherwise(F.array().cast("array<struct<article_no:int,title:string,text:string,start:int,end:int>>"))
-    rows = body.select("doc_id", F.posexplode(F.concat(clauses, signature)).alias("pos", "c"))
-    return rows.select("doc_id", (F.col("pos") + 1).alias("clause_seq"), F.concat(F.lit("c"), F.col("pos") + 1).alias("clause_id"), "c.article_no", "c.title", "c.text", "c.start", "c.end")
+    explode = F.posexplode_outer if outer else F.posexplode
+    rows = body.select("doc_id", *carry, explode(F.concat(clauses, signature)).alias("pos", "c"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("clause_seq"), F.concat(F.lit("c"), F.col("pos") + 1).alias("clause_id"), "c.article_no", "c.title", "c.text", "c.start", "c.end", *carry)

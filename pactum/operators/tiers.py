@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.functions import patterns as P
 from pactum.functions.text import plain_law_sentences
 from pactum.operators.checks import missing_terms
 from pactum.operators.report import finding_order, left_over
-from pactum.operators.rules import run_rules
+from pactum.operators.rules import HIT, Rule, rule_hits, run_rules
 
 Tier = Callable[[DataFrame], DataFrame]
 FINDING = ["doc_id", "clause_seq", "rule_ord", "rule", "law_id", "severity", "sentence", "source"]
@@ -34,6 +34,48 @@ def tiered(clauses: DataFrame, rules: Tier | None = run_rules, model: Tier | Non
     return run_rules(clauses, []).select(*FINDING).limit(0) if found is None else found
 
 
+def annotated(clauses: DataFrame, rules: list[Rule] | None = None, model: Tier | None = None, judge: Tier | None = None) -> DataFrame:
+    """``clauses`` with hits, array<HIT>, in one pass: of the rules, else of the model, else of the judge.
+
+    model and judge take rows (clauses with hits) and give the same rows with hit, a HIT or null; it counts only where no
+    tier before had a hit. Nothing is joined back and no clause is read twice; a tier that isn't given isn't in the plan.
+    rules: None for all, [] for none. Other columns stay.
+    """
+    out = clauses.withColumn("hits", rule_hits(F.col("text"), rules))
+    for tier in (model, judge):
+        if tier is not None:
+            said = tier(out)
+            out = said.withColumn("hits", F.when((F.size("hits") == 0) & F.col("hit").isNotNull(), F.array(F.col("hit").cast(HIT))).otherwise(F.col("hits"))).select(*out.columns)
+    return out
+
+
+def whole_hit(kind: Column, structure: Column) -> Column:
+    """The finding of an employment contract that leaves out mandatory terms, as a HIT; null where there is none."""
+    gone = F.size(F.array_except(F.array(*map(F.lit, P.MANDATORY)), structure["required_found"])) > 0
+    hit = F.struct(F.lit(0), F.lit("missing_terms"), F.lit(P.MISSING_LAW), F.lit("violation"), F.lit(0), F.lit("rule")).cast(HIT)
+    return F.when((kind == "employment") & gone, hit)
+
+
+def hit_rows(rows: DataFrame, whole: str | None = None) -> DataFrame:
+    """FINDING of annotated clauses. ``whole``: a column with a HIT of the whole document, which its first row gives."""
+    # an outer explode, since the filter that Spark puts before an inner one would work out the hits once more
+    out = rows.select("doc_id", "clause_seq", F.explode_outer("hits").alias("h")).where("h is not null").select("doc_id", "clause_seq", "h.*")
+    if whole is not None:
+        every = F.transform("hits", lambda h: F.struct(F.col("clause_seq").alias("clause_seq"), h.alias("hit")))
+        own = F.when(F.coalesce(F.col("clause_seq"), F.lit(1)) == 1, F.filter(F.array(F.struct(F.lit(None).cast("int").alias("clause_seq"), F.col(whole).alias("hit"))), lambda x: x["hit"].isNotNull()))
+        both = F.concat(F.when(F.col("clause_seq").isNotNull(), every).otherwise(F.slice(every, 1, 0)), F.coalesce(own, F.slice(every, 1, 0)))
+        out = rows.select("doc_id", F.explode_outer(both).alias("h")).where("h is not null").select("doc_id", "h.clause_seq", "h.hit.*")
+    return out.select(*FINDING)
+
+
+def meta_of(rows: DataFrame) -> DataFrame:
+    """``report.meta`` of annotated clauses, by one aggregate."""
+    count = lambda field, value: F.sum(F.size(F.filter("hits", lambda h: h[field] == value)))
+    sums = {"flagged": F.count_if(F.size("hits") > 0), "violations": count("severity", "violation"), "unfavorable": count("severity", "unfavorable")}
+    sums |= {"by_rule": count("source", "rule"), "by_model": count("source", "model"), "by_judge": count("source", "llm")}
+    return rows.groupBy("doc_id").agg(F.count("*").alias("clauses"), *(c.cast("long").alias(a) for a, c in sums.items()))
+
+
 def document_findings(docs: DataFrame) -> DataFrame:
     """FINDING and missing of employment contracts (doc_id, kind, structure) that leave out mandatory terms; clause_seq is null."""
     whole = {"clause_seq": F.lit(None).cast("int"), "rule_ord": F.lit(0), "rule": F.lit("missing_terms"), "law_id": F.lit(P.MISSING_LAW), "severity": F.lit("violation"), "sentence": F.lit(0), "source": F.lit("rule")}
@@ -72,9 +114,18 @@ def cards(clauses: DataFrame, findings: DataFrame, status: str | None = None, se
     status: violation or unfavorable, as the clause's worst finding is, or ok; None is any.
     """
     worst = findings.groupBy("doc_id", "clause_seq").agg(F.min(F.when(F.col("severity") == "violation", 0).otherwise(1)).alias("worst"))
+    return _shown(clauses.join(worst, ["doc_id", "clause_seq"], "left"), status, search)
+
+
+def cards_of(rows: DataFrame, status: str | None = None, search: str = "") -> DataFrame:
+    """``cards`` of annotated clauses, row by row."""
+    return _shown(rows.withColumn("worst", F.array_min(F.transform("hits", lambda h: F.when(h["severity"] == "violation", 0).otherwise(1)))), status, search)
+
+
+def _shown(rows: DataFrame, status: str | None, search: str) -> DataFrame:
     shown = F.when(F.col("worst") == 0, "violation").when(F.col("worst") == 1, "unfavorable").otherwise("ok")
     words = F.lower(F.concat_ws(" ", "title", "text"))
-    found = clauses.where(F.contains(words, F.lower(F.lit(search.strip())))).join(worst, ["doc_id", "clause_seq"], "left").select("doc_id", "clause_seq", shown.alias("status"))
+    found = rows.where(F.contains(words, F.lower(F.lit(search.strip())))).select("doc_id", "clause_seq", shown.alias("status"))
     return found if status is None else found.where(F.col("status") == status)
 
 

@@ -30,52 +30,51 @@ def _model(clauses: DataFrame) -> DataFrame:
         label, confidence = F.when(F.contains("text", F.lit(words)), name).otherwise(label), F.when(F.contains("text", F.lit(words)), p).otherwise(confidence)
     laws = sorted({r.law_id for r in rules.RULES})
     known, info = spark.createDataFrame([(x,) for x in laws], "id string"), spark.createDataFrame([(x, "violation") for x in laws], "law_id string, severity string")
-    return classifier.model_findings(clauses.withColumn("predicted", label).withColumn("confidence", confidence), known, info, [])
+    return classifier.with_model_hit(clauses.withColumn("predicted", label).withColumn("confidence", confidence), known, info, [])
 
 
 def _judge(clauses: DataFrame) -> DataFrame:
-    found = {"rule_ord": F.lit(2000), "rule": F.lit("judge"), "law_id": F.lit("근로기준법-제55조"), "severity": F.lit("unfavorable"), "sentence": F.lit(0), "source": F.lit("llm")}
-    return clauses.where(F.contains("text", F.lit(ASKED))).select("doc_id", "clause_seq", *(v.alias(k) for k, v in found.items()))
+    found = F.struct(F.lit(2000).alias("rule_ord"), F.lit("judge").alias("rule"), F.lit("근로기준법-제55조").alias("law_id"), F.lit("unfavorable").alias("severity"), F.lit(0).alias("sentence"), F.lit("llm").alias("source"))
+    return clauses.withColumn("hit", F.when(F.contains("text", F.lit(ASKED)), found))
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    clauses = segment(contracts(spark, sf_dir))
-    return clauses, tiers.tiered(clauses, model=_model, judge=_judge)
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiers.annotated(segment(contracts(spark, sf_dir)), model=_model, judge=_judge)
 
 
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all tiers and of whole documents, in their order."""
+    """Findings of all tiers and of whole documents, in their order: one scan of the contracts."""
     docs = contracts(spark, sf_dir).withColumn("structure", checks.structure(F.col("text")))
-    whole = tiers.document_findings(docs.select("doc_id", checks.verdict(F.col("structure"))["kind"].alias("kind"), "structure"))
-    found = _findings(spark, sf_dir)[1].unionByName(whole.drop("missing"))
-    return tiers.placed(found).select("doc_id", "position", "clause_seq", "rule", "law_id", "severity", "source")
+    docs = docs.withColumn("whole", tiers.whole_hit(checks.verdict(F.col("structure"))["kind"], F.col("structure")))
+    rows = tiers.annotated(segment(docs, carry=("whole",), outer=True), model=_model, judge=_judge)
+    return tiers.placed(tiers.hit_rows(rows, "whole")).select("doc_id", "position", "clause_seq", "rule", "law_id", "severity", "source")
 
 
 def tier_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each report by severity and tier."""
-    return report.meta(*_findings(spark, sf_dir))
+    return tiers.meta_of(_annotated(spark, sf_dir))
 
 
 def screen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses flagged and clean, and claims that the gate dropped: here those of a judge that quotes a neighbouring clause."""
-    clauses, found = _findings(spark, sf_dir)
+    clauses = segment(contracts(spark, sf_dir))
     said = clauses.select("doc_id", "clause_seq", F.concat_ws("/", "doc_id", "clause_seq").alias("query_id"), "text", F.lit("violation").alias("severity"), F.concat_ws("/", "doc_id", F.col("clause_seq") + F.col("doc_id") % 2).alias("law_id"), F.substring("text", 1, 20).alias("quote"), F.lit("").alias("reason"))
     passed = retrieval.judged(said, said.select("query_id", "law_id"), said.select(F.col("query_id").alias("id"), "text"))
-    return tiers.screen(report.meta(clauses, found), quarantined(passed))
+    return tiers.screen(tier_meta(spark, sf_dir), quarantined(passed))
 
 
 def card_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses that speak of leave or quitting, by what was found in them."""
-    clauses, found = _findings(spark, sf_dir)
-    rows = tiers.cards(clauses, found, search="휴가").withColumn("search", F.lit("휴가")).unionByName(tiers.cards(clauses, found, "violation", "퇴사 ").withColumn("search", F.lit("퇴사")))
+    found = _annotated(spark, sf_dir)
+    rows = tiers.cards_of(found, search="휴가").withColumn("search", F.lit("휴가")).unionByName(tiers.cards_of(found, "violation", "퇴사 ").withColumn("search", F.lit("퇴사")))
     return rows.groupBy("search", "status").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("contracts"))
 
 
 def finding_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with labels and titles. Nations stand in for statutes, by their number; laws of other numbers have no label."""
-    clauses, found = _findings(spark, sf_dir)
+    rows = _annotated(spark, sf_dir)
     laws = _table(spark, sf_dir, "nation").select(F.concat(F.lit("근로기준법-제"), F.col("n_nationkey"), F.lit("조")).alias("id"), F.lit("근로기준법").alias("law"), F.concat(F.lit("제"), F.col("n_nationkey"), F.lit("조")).alias("article"), F.col("n_name").alias("title"), F.col("n_name").alias("text"))
-    return tiers.enriched(found, clauses, laws).select("doc_id", "clause_seq", "rule", "source_label", "clause_title", F.length("clause_text").alias("n_chars"), "law_label", F.length("law_text").alias("n_law"))
+    return tiers.enriched(tiers.hit_rows(rows), rows, laws).select("doc_id", "clause_seq", "rule", "source_label", "clause_title", F.length("clause_text").alias("n_chars"), "law_label", F.length("law_text").alias("n_law"))
 
 
 def vote_combined(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,30 @@ def test_tiers_and_toggles(spark):
     assert tiers.tiered(clauses.limit(0), model=tier("model")).count() == 0
 
 
+def test_one_pass_equals_joined_tiers(spark):
+    """Hits beside their clauses: the findings, counts and cards of tiers that are joined, from one scan."""
+    from pactum.operators import report, segmentation, tiers
+
+    texts = [(1, "제1조(위약) 근로자는 위약금 100원을 배상하며 해고는 문자로 통보한다.\n제2조(휴일) 휴일은 일요일로 하고 평범하게 정한다.\n제3조(업종) 같은 업종에 취업하지 아니한다는 조항을 둔다."), (2, None), (3, "제1조(갑) 평범한 조항입니다 그렇습니다.\n제2조(을) 일요일에는 근무하지 않습니다 그렇습니다."), (4, "짧다")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    said = lambda word, source, severity: lambda c: c.withColumn("hit", F.when(F.contains("text", F.lit(word)), F.struct(F.lit(9).alias("rule_ord"), F.lit(source).alias("rule"), F.lit("L").alias("law_id"), F.lit(severity).alias("severity"), F.lit(0).alias("sentence"), F.lit(source).alias("source"))))
+    as_rows = lambda tier: lambda c: tier(c).where("hit is not null").select("doc_id", "clause_seq", "hit.*")
+    model, judge = said("업종", "model", "violation"), said("조항", "llm", "unfavorable")
+    clauses = segmentation.segment(docs)
+    joined, rows = tiers.tiered(clauses, model=as_rows(model), judge=as_rows(judge)), tiers.annotated(clauses, model=model, judge=judge)
+    same = lambda a, b: sorted(map(tuple, a.select(*b.columns).collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    assert joined.count() == 4 and same(tiers.hit_rows(rows), joined)
+    assert same(tiers.meta_of(rows), report.meta(clauses, joined))
+    for status in (None, "violation", "unfavorable", "ok"):
+        assert same(tiers.cards_of(rows, status), tiers.cards(clauses, joined, status))
+    assert tiers.annotated(clauses, []).where(F.size("hits") > 0).count() == 0
+    outer = segmentation.segment(docs.withColumn("whole", F.struct(F.lit(0), F.lit("w"), F.lit("L"), F.lit("violation"), F.lit(0), F.lit("rule")).cast("struct<rule_ord:int,rule:string,law_id:string,severity:string,sentence:int,source:string>")), carry=("whole",), outer=True)
+    found = tiers.hit_rows(tiers.annotated(outer, model=model, judge=judge), "whole").collect()
+    assert sorted((r.doc_id, r.clause_seq) for r in found if r.rule == "w") == [(1, None), (2, None), (3, None), (4, None)] and len(found) == 8
+    plan = tiers.hit_rows(tiers.annotated(outer, model=model, judge=judge), "whole")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+
+
 def test_law_files_and_rows(spark, tmp_path):
     from pactum.operators import tiers
     from pactum.sources import readers
