@@ -24,6 +24,16 @@ def risk(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """(doc_id, violations, unfavorable, score, grade) of every document, also of those without findings."""
     counts = findings.groupBy("doc_id").agg(F.count_if(F.col("severity") == "violation").alias("violations"), F.count_if(F.col("severity") == "unfavorable").alias("unfavorable"))
     joined = docs.select("doc_id").join(counts, "doc_id", "left").na.fill(0, ["violations", "unfavorable"])
+    return _graded(joined)
+
+
+def risk_of(rows: DataFrame) -> DataFrame:
+    """``risk`` of annotated clauses, which hold a row of nulls for a document without a clause: one aggregate, no join."""
+    count = lambda severity: F.coalesce(F.sum(F.size(F.filter("hits", lambda h: h["severity"] == severity))), F.lit(0))
+    return _graded(rows.groupBy("doc_id").agg(count("violation").alias("violations"), count("unfavorable").alias("unfavorable")))
+
+
+def _graded(joined: DataFrame) -> DataFrame:
     score = F.least(F.lit(100), sum(w * F.col({"violation": "violations"}.get(s, s)) for s, w in P.RISK_WEIGHTS.items()))
     grade = F.lit(P.RISK_BANDS[-1][1])
     for most, name in reversed(P.RISK_BANDS[:-1]):
@@ -38,6 +48,13 @@ def highlights(clauses: DataFrame, findings: DataFrame) -> DataFrame:
     return worst.join(clauses.select("doc_id", "clause_seq", "start", "end"), ["doc_id", "clause_seq"])
 
 
+def highlights_of(rows: DataFrame) -> DataFrame:
+    """``highlights`` of annotated clauses, row by row."""
+    order = F.transform("hits", lambda h: F.struct(severity_rank(h["severity"]).alias("s"), source_rank(h["source"]).alias("o"), h["rule_ord"].alias("n"), h["severity"].alias("severity"), h["law_id"].alias("law_id")))
+    worst = rows.select("doc_id", "clause_seq", "start", "end", F.array_min(order).alias("h")).where("h is not null")
+    return worst.select("doc_id", "clause_seq", "start", "end", "h.severity", "h.law_id")
+
+
 def meta(clauses: DataFrame, findings: DataFrame) -> DataFrame:
     """(doc_id, clauses, flagged, violations, unfavorable, by_rule, by_model, by_judge) of every document with a clause."""
     per = clauses.groupBy("doc_id").agg(F.count("*").alias("clauses"))

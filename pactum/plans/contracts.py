@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions import patterns as P
 from pactum.functions.text import clean_contract, order_score
-from pactum.operators import checks, evaluation, masking, report, rules
+from pactum.operators import checks, evaluation, masking, report, rules, tiers
 from pactum.operators.segmentation import segment
 from pactum.sources.derived import CONTRACTS_SQL, contracts, labels
 
@@ -114,26 +114,22 @@ def law_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contract_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and grade of every contract."""
-    docs = contracts(spark, sf_dir)
-    return report.risk(docs, rules.run_rules(segment(docs)))
+    return report.risk_of(tiers.annotated(segment(contracts(spark, sf_dir), outer=True)))
 
 
 def clause_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst finding of each clause with its place."""
-    clauses = _clauses(spark, sf_dir)
-    return report.highlights(clauses, rules.run_rules(clauses)).select("doc_id", "clause_seq", "severity", "law_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+    return report.highlights_of(tiers.annotated(_clauses(spark, sf_dir))).select("doc_id", "clause_seq", "severity", "law_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
 def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each contract's report."""
-    clauses = _clauses(spark, sf_dir)
-    return report.meta(clauses, rules.run_rules(clauses)).drop("by_model", "by_judge")
+    return tiers.meta_of(tiers.annotated(_clauses(spark, sf_dir))).drop("by_model", "by_judge")
 
 
 def unflagged_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses that no rule catches, which go to the next tier."""
-    clauses = _clauses(spark, sf_dir)
-    return report.left_over(clauses, rules.run_rules(clauses)).select("doc_id", "clause_seq", F.length("text").alias("n_chars"))
+    return tiers.annotated(_clauses(spark, sf_dir)).where(F.size("hits") == 0).select("doc_id", "clause_seq", F.length("text").alias("n_chars"))
 
 
 def review_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

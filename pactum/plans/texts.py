@@ -224,6 +224,10 @@ def _count(pattern: str, column: str = "text") -> str:
     return f"len(regexp_extract_all({column}, '{pattern}'))"
 
 
+_WEIGHTS = f"""WITH b AS (SELECT item_id, {_TOK} AS w FROM benchmark), bt AS (SELECT item_id, unnest({_GRAMS}) AS term FROM b), tf AS (SELECT item_id, term, count(*) AS tf FROM bt GROUP BY ALL),
+        dl AS (SELECT item_id, sum(tf) AS dl FROM tf GROUP BY ALL), st AS (SELECT (SELECT count(*) FROM benchmark) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM benchmark) AS av),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), i AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st), f AS (SELECT 0.25 * avg(idf) AS floor FROM i),
+        w AS (SELECT tf.term, item_id, CASE WHEN idf < 0 THEN floor ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av)) AS weight FROM tf JOIN i USING (term) JOIN dl USING (item_id), f, st),"""
 ORACLE_SQL = {
     "reading_scores": f"""WITH a AS (SELECT doc_id, {_count('[a-zA-ZÀ-ɏ]')} AS l, coalesce({_count('[a-zA-Z]')} / nullif({_count('[a-zA-ZÀ-ɏ]')}, 0), 0) AS r, {_HITS.replace("contains(t,", "contains(text,")} AS h FROM documents)
         SELECT doc_id, round(0.5 * r + 0.35 * least(h / 6.0::DOUBLE, 1) + 0.15 * least(l / 300.0::DOUBLE, 1), 6) AS score FROM a""",
@@ -252,14 +256,18 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(value) AS INT) AS start_at, value FROM q""",
     "mail_masked": """WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)
         SELECT conv_id, turn, CAST(len(regexp_extract_all(t, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9_.]+')) AS INT) AS n_spans, sha256(regexp_replace(t, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9_.]+', '[mail]', 'g')) AS sha256 FROM m""",
-    "bm25_top": f"""WITH b AS (SELECT item_id, {_TOK} AS w FROM benchmark), bt AS (SELECT item_id, unnest({_GRAMS}) AS term FROM b), tf AS (SELECT item_id, term, count(*) AS tf FROM bt GROUP BY ALL),
-        dl AS (SELECT item_id, sum(tf) AS dl FROM tf GROUP BY ALL), st AS (SELECT (SELECT count(*) FROM benchmark) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM benchmark) AS av),
-        df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), i AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st), f AS (SELECT 0.25 * avg(idf) AS floor FROM i),
-        w AS (SELECT tf.term, item_id, CASE WHEN idf < 0 THEN floor ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av)) AS weight FROM tf JOIN i USING (term) JOIN dl USING (item_id), f, st),
+    "bm25_top": f"""{_WEIGHTS}
         d AS (SELECT doc_id, {_TOK} AS w FROM documents), q AS (SELECT doc_id, term, count(*) AS qtf FROM (SELECT doc_id, unnest({_GRAMS}) AS term FROM d) GROUP BY ALL),
         s AS (SELECT doc_id AS query_id, item_id AS law_id, round(sum(qtf * weight), 9) AS score FROM q JOIN w USING (term) GROUP BY ALL),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, law_id) AS INT) AS rank FROM s WHERE score > 0)
         SELECT query_id, law_id, round(score, 4) AS score, rank FROM r WHERE rank <= 4""",
+    "quoted_items": f"""{_WEIGHTS}
+        d AS (SELECT doc_id, unnest(p) AS quote, CAST(generate_subscripts(p, 1) - 1 AS INT) AS quote_no FROM (SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])[ \\t\\r\\f\\v][ \\t\\n\\r\\f\\v]*', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)) AS p FROM documents)),
+        q AS (SELECT doc_id, quote_no, term, count(*) AS qtf FROM (SELECT doc_id, quote_no, unnest({_GRAMS}) AS term FROM (SELECT doc_id, quote_no, {_TOK.replace("text", "quote")} AS w FROM d)) GROUP BY ALL),
+        s AS (SELECT doc_id, quote_no, item_id, round(sum(qtf * weight), 9) AS score FROM q JOIN w USING (term) GROUP BY ALL),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, quote_no ORDER BY score DESC, item_id) AS INT) AS rank FROM s WHERE score > 0),
+        g AS (SELECT doc_id, quote_no, {_QUOTE.replace("regexp_replace(text", "regexp_replace(quote")} AS x FROM d), n AS (SELECT item_id, {_QUOTE} AS y FROM benchmark)
+        SELECT doc_id, quote_no, item_id, rank, coalesce(length(x) >= 12 AND contains(y, x), false) AS passes FROM r JOIN g USING (doc_id, quote_no) JOIN n USING (item_id) WHERE rank <= 4""",
     "term_frequencies": f"WITH b AS (SELECT item_id, {_TOK} AS w FROM benchmark), t AS (SELECT item_id, unnest({_GRAMS}) AS term FROM b) SELECT term, count(*) AS n, count(DISTINCT item_id) AS df FROM t GROUP BY term",
     "citations": f"""WITH a AS (SELECT doc_id, left(d.text, 40) AS quote, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents d),
         j AS (SELECT doc_id, item_id, CASE WHEN doc_id % 2 = 0 THEN substring(b.text, 11, 30) ELSE quote END AS q, b.text AS s FROM a JOIN benchmark b USING (item_id)),
