@@ -6,6 +6,7 @@ block and payload against their digests.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import urllib.parse
@@ -36,6 +37,12 @@ def _sha1(b: bytes) -> str:
     return hashlib.sha1(b, usedforsecurity=False).hexdigest()
 
 
+def _agrees(said: str | None, own: str) -> bool:
+    """Whether a digest field, hexadecimal or base 32, is that of the bytes; one that isn't there or isn't SHA-1 says nothing."""
+    algorithm, _, digest = (said or "").partition(":")
+    return algorithm.lower() != "sha1" or digest in (own, base64.b32encode(bytes.fromhex(own)).decode())
+
+
 def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One record as a gzip member; a revisit (refers_to) holds the HTTP headers alone."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -86,21 +93,32 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     block = member[start : start + size]
     if len(block) != size or member[start + size :] != b"\r\n\r\n":
         raise BadRecord("the block isn't as long as Content-Length says")
-    if "warc-block-digest" in headers and headers["warc-block-digest"] != f"sha1:{_sha1(block)}":
+    if not _agrees(headers.get("warc-block-digest"), _sha1(block)):
         raise BadRecord("the block differs from its digest")
     return headers, block
 
 
-def page(headers: dict[str, str], block: bytes) -> tuple[int | None, int, str, str, int | None, bytes | None]:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload), the payload checked where it is there."""
+def page(headers: dict[str, str], block: bytes) -> tuple[int | None, int | None, str, str, int | None, bytes | None] | None:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of a response or revisit, the payload checked
+    where it is there; None for records of other types, such as warcinfo, request and metadata.
+
+    Records of other writers may lack what the format doesn't ask for: an id that is no page's is null, a response without a
+    payload digest has it worked out, one without an HTTP length has that of its payload, a revisit without them has null and ''.
+    """
+    kind = headers.get("warc-type")
+    if not kind:
+        raise BadRecord("the record has no type")
+    if kind not in ("response", "revisit"):
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1])
-    digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-    if kind == "response" and (len(payload) != size or _sha1(payload) != digest):
+    said = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+    size = int(said[1]) if said else len(payload) if kind == "response" else None
+    own = _sha1(payload) if kind == "response" else ""
+    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+    if kind == "response" and (len(payload) != size or not _agrees(headers.get("warc-payload-digest"), own)):
         raise BadRecord("the payload differs from its digest")
-    number = lambda s: None if s == "none" else int(s)
-    id_of = lambda name: number(headers[name].removeprefix("<urn:page:").removesuffix(">"))
-    return id_of("warc-record-id"), size, digest, kind, id_of("warc-refers-to") if kind == "revisit" else None, payload if kind == "response" else None
+    page_id = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", headers.get(name, ""))) else None
+    return page_id("warc-record-id"), size, own or digest, kind, page_id("warc-refers-to") if kind == "revisit" else None, payload if kind == "response" else None
 
 
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
@@ -149,7 +167,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every record of the archives (path).
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every response and revisit in the archives (path); records of other types are passed over.
 
     An archive is read by one task from front to back. A damaged archive raises BadRecord.
     """
@@ -166,7 +184,9 @@ def read_warc(spark: SparkSession, archives: DataFrame, with_payload: bool = Fal
                 rows, size = [], 0
                 with fs.open_input_stream(at, compression=None) as stream:
                     for m in members(stream.read):
-                        rows.append(page(*parse(m)))
+                        if (got := page(*parse(m))) is None:
+                            continue
+                        rows.append(got)
                         size += len(m) if with_payload else 256
                         if size > 4 << 20:
                             yield batch_of(rows)

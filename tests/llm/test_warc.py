@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
+import os
 
 import pytest
 
@@ -51,3 +53,29 @@ def test_damage_is_found():
     for bad in (body[:-5], b"no gzip", gzip.compress(b"no warc"), gzip.compress(gzip.decompress(body).replace(b"payload\r\n", b"PAYLOAD\r\n")), gzip.compress(gzip.decompress(body)[:-2])):
         with pytest.raises(warc.BadRecord):
             read(bad)
+
+
+def foreign(kind, block, **headers):
+    named = ({"WARC_Type": kind} if kind else {}) | headers | {"Content_Length": len(block)}
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in named.items())
+    return gzip.compress(b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_records_of_other_writers(spark):
+    """Other types are passed over; what the format doesn't ask for may be missing; digests may be in base 32."""
+    http = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    b32 = "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    body = foreign("warcinfo", b"software: x") + foreign("request", b"GET / HTTP/1.1\r\n\r\n") + foreign("metadata", b"a: b")
+    body += foreign("response", http) + foreign("response", http, WARC_Record_ID="<urn:uuid:1>", WARC_Payload_Digest=b32, WARC_Block_Digest="sha1:" + base64.b32encode(hashlib.sha1(http).digest()).decode())
+    body += foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Payload_Digest="sha1:abc") + archive(b"own")
+    folder = shared_dir(spark).removeprefix("file:")
+    os.makedirs(folder)
+    with open(f"{folder}/other.warc.gz", "wb") as f:
+        f.write(body)
+    got = warc.read_warc(spark, spark.createDataFrame([(f"file://{folder}/other.warc.gz",)], "path string"), with_payload=True).collect()
+    sha = hashlib.sha1(b"hello").hexdigest()
+    want = [(None, 5, sha, "response", None, b"hello")] * 2 + [(None, None, "abc", "revisit", None, None), (0, 3, hashlib.sha1(b"own").hexdigest(), "response", None, b"own")]
+    assert [(*r[:5], None if r.payload is None else bytes(r.payload)) for r in got] == want
+    for bad in (foreign("response", http, WARC_Payload_Digest="sha1:" + "0" * 40), foreign(None, b"x")):
+        with pytest.raises(warc.BadRecord):
+            [warc.page(*warc.parse(m)) for m in warc.members(io.BytesIO(bad).read)]
