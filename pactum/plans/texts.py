@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactum.functions import text as T
-from pactum.operators import checks, evaluation, layout, masking, retrieval
+from pactum.operators import checks, evaluation, intervals, layout, masking, retrieval
 
 MAIL = r"(?<![\w.])[\w.+-]+@[\w-]+\.[\w.]+"
 #: Frequent word parts of the documents, as a vocabulary.
@@ -149,7 +149,7 @@ def event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user within ten minutes of each other, merged."""
     at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
     e = _table(spark, sf_dir, "events").select("user_id", at.alias("begins"), (at + 600_000_000).alias("ends"))
-    return masking.merge_intervals(e, ["user_id"], "begins", "ends").select("user_id", F.col("start").alias("starts_at"), F.col("end").alias("ends_at"), "n")
+    return intervals.merge_intervals(e, ["user_id"], "begins", "ends").select("user_id", F.col("start").alias("starts_at"), F.col("end").alias("ends_at"), "n")
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
