@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactum.functions import messages as M
 from pactum.functions import patterns as P
 
 
@@ -84,6 +85,28 @@ def review(clauses: DataFrame, findings: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("clause_seq", "part")))["part"], "\n\n").alias("markdown"))
 
 
+def opinion(clauses: DataFrame, findings: DataFrame) -> DataFrame:
+    """(doc_id, markdown) of every document with a clause: the whole review with heading, clauses as they stand, and below each
+    clause its findings (reason, law_id, quote, suggestion) with the worst first, and the closing note.
+
+    Findings without a quote have an empty one, without a suggestion none; texts that are null are empty. Findings of whole
+    documents aren't in it.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    fix = F.when(text("suggestion") != "", F.concat(F.lit(M.REVIEW_FIX), "suggestion", F.lit("\n\n"))).otherwise("")
+    one = F.concat(F.lit(M.REVIEW_WHY), text("reason"), F.lit("\n\n" + M.REVIEW_LAW), text("law_id"), F.lit("\n> "), text("quote"), F.lit("\n\n"), fix)
+    rank = severity_rank(F.col("severity"))
+    ordered = F.array_sort(F.collect_list(F.struct(rank.alias("s"), source_rank(F.col("source")).alias("o"), "rule_ord", one.alias("said"))))
+    per = findings.groupBy("doc_id", "clause_seq").agg(F.min(rank).alias("worst"), F.array_join(ordered["said"], "").alias("said"))
+    mark = F.when(F.col("worst") == 0, "🔴").when(F.col("worst").isNotNull(), "🟡").otherwise("")
+    titled = F.when(F.col("article_no") > 0, F.concat(F.lit("제"), F.col("article_no").cast("string"), F.lit("조 "), text("title"))).otherwise(text(F.coalesce("title", "clause_id")))
+    head = F.rtrim(F.concat(F.lit("## "), mark, F.lit(" "), titled))
+    part = F.concat(head, F.lit("\n\n> "), F.replace(text("text"), F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"), text("said"), F.lit("\n"))
+    parts = clauses.join(per, ["doc_id", "clause_seq"], "left").select("doc_id", "clause_seq", part.alias("part"))
+    body = F.array_join(F.array_sort(F.collect_list(F.struct("clause_seq", "part")))["part"], "")
+    return parts.groupBy("doc_id").agg(F.concat(F.lit(M.REVIEW_HEAD), body, F.lit(M.REVIEW_FOOT)).alias("markdown"))
+
+
 def payload(docs: DataFrame, clauses: DataFrame, findings: DataFrame) -> DataFrame:
     """(doc_id, report): one JSON document for each input, findings in their order, clauses by number."""
     listed = findings.withColumn("sev", severity_rank(F.col("severity"))).withColumn("src", source_rank(F.col("source")))

@@ -12,13 +12,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.functions import patterns as P
+from pactum.functions.messages import MISSING_MESSAGE, fill
 from pactum.functions.text import plain_law_sentences
 from pactum.operators.checks import missing_terms
 from pactum.operators.report import finding_order, left_over
 from pactum.operators.rules import HIT, Rule, rule_hits, run_rules
 
 Tier = Callable[[DataFrame], DataFrame]
-FINDING = ["doc_id", "clause_seq", "rule_ord", "rule", "law_id", "severity", "sentence", "source"]
+FINDING = ["doc_id", "clause_seq", "rule_ord", "rule", "law_id", "severity", "sentence", "source", "value", "reason", "suggestion"]
+WORDS = {"value": "bigint", "reason": "string", "suggestion": "string"}
+
+
+def _with_words(findings: DataFrame) -> DataFrame:
+    """FINDING of a tier, which may leave out what it doesn't word."""
+    return findings.select(*(F.col(c) if c in findings.columns else F.lit(None).cast(WORDS[c]).alias(c) for c in FINDING))
+
+
+def _as_hit(rows: DataFrame, column: str) -> Column:
+    """A column with a tier's hit as a HIT; what it doesn't word is null."""
+    has = rows.schema[column].dataType.fieldNames()
+    hit = F.col(column)
+    fields = [hit[c].alias(c) if c in has else F.lit(None).alias(c) for c in FINDING[2:]]
+    return F.when(hit.isNotNull(), F.struct(*fields).cast(HIT))
 
 
 def tiered(clauses: DataFrame, rules: Tier | None = run_rules, model: Tier | None = None, judge: Tier | None = None) -> DataFrame:
@@ -29,9 +44,9 @@ def tiered(clauses: DataFrame, rules: Tier | None = run_rules, model: Tier | Non
     found, rest = None, clauses
     for tier in (rules, model, judge):
         if tier is not None:
-            got = tier(rest).select(*FINDING)
+            got = _with_words(tier(rest))
             found, rest = got if found is None else found.unionByName(got), left_over(rest, got)
-    return run_rules(clauses, []).select(*FINDING).limit(0) if found is None else found
+    return _with_words(run_rules(clauses, [])).limit(0) if found is None else found
 
 
 def annotated(clauses: DataFrame, rules: list[Rule] | None = None, model: Tier | None = None, judge: Tier | None = None) -> DataFrame:
@@ -45,14 +60,16 @@ def annotated(clauses: DataFrame, rules: list[Rule] | None = None, model: Tier |
     for tier in (model, judge):
         if tier is not None:
             said = tier(out)
-            out = said.withColumn("hits", F.when((F.size("hits") == 0) & F.col("hit").isNotNull(), F.array(F.col("hit").cast(HIT))).otherwise(F.col("hits"))).select(*out.columns)
+            out = said.withColumn("hits", F.when((F.size("hits") == 0) & F.col("hit").isNotNull(), F.array(_as_hit(said, "hit"))).otherwise(F.col("hits"))).select(*out.columns)
     return out
 
 
 def whole_hit(kind: Column, structure: Column) -> Column:
     """The finding of an employment contract that leaves out mandatory terms, as a HIT; null where there is none."""
     gone = F.size(F.array_except(F.array(*map(F.lit, P.MANDATORY)), structure["required_found"])) > 0
-    hit = F.struct(F.lit(0), F.lit("missing_terms"), F.lit(P.MISSING_LAW), F.lit("violation"), F.lit(0), F.lit("rule")).cast(HIT)
+    missing = F.array_join(F.array_except(F.array(*map(F.lit, P.MANDATORY)), structure["required_found"]), ", ")
+    said = [fill(text, {"missing": missing}) for text in MISSING_MESSAGE]
+    hit = F.struct(F.lit(0), F.lit("missing_terms"), F.lit(P.MISSING_LAW), F.lit("violation"), F.lit(0), F.lit("rule"), F.lit(None), *said).cast(HIT)
     return F.when((kind == "employment") & gone, hit)
 
 
@@ -62,7 +79,7 @@ def hit_rows(rows: DataFrame, whole: str | None = None) -> DataFrame:
     out = rows.select("doc_id", "clause_seq", F.explode_outer("hits").alias("h")).where("h is not null").select("doc_id", "clause_seq", "h.*")
     if whole is not None:
         every = F.transform("hits", lambda h: F.struct(F.col("clause_seq").alias("clause_seq"), h.alias("hit")))
-        own = F.when(F.coalesce(F.col("clause_seq"), F.lit(1)) == 1, F.filter(F.array(F.struct(F.lit(None).cast("int").alias("clause_seq"), F.col(whole).alias("hit"))), lambda x: x["hit"].isNotNull()))
+        own = F.when(F.coalesce(F.col("clause_seq"), F.lit(1)) == 1, F.filter(F.array(F.struct(F.lit(None).cast("int").alias("clause_seq"), _as_hit(rows, whole).alias("hit"))), lambda x: x["hit"].isNotNull()))
         both = F.concat(F.when(F.col("clause_seq").isNotNull(), every).otherwise(F.slice(every, 1, 0)), F.coalesce(own, F.slice(every, 1, 0)))
         out = rows.select("doc_id", F.explode_outer(both).alias("h")).where("h is not null").select("doc_id", "h.clause_seq", "h.hit.*")
     return out.select(*FINDING)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactum.functions import messages as M
 from pactum.functions import patterns as P
 from pactum.functions.text import clean_contract, order_score
 from pactum.operators import checks, evaluation, masking, report, rules, tiers
@@ -86,6 +87,42 @@ RULE_SQL = {
     "job_interference": ("근로기준법-제40조", "violation", _says(rf"(?:재취업|이직|취업){GAP}{{0,30}}?(?:방해|명단|블랙리스트|통보하여)")),
 }
 FINDINGS = LINES + ",\n    findings AS (" + " UNION ALL ".join(f"SELECT doc_id, clause_seq, {i} AS rule_ord, '{name}' AS rule, '{law}' AS law_id, '{sev}' AS severity FROM clauses WHERE {cond}" for i, (name, (law, sev, cond)) in enumerate(RULE_SQL.items())) + ")"
+
+
+def _filled(text: str, value: str) -> str:
+    """A message template as SQL."""
+    fields = {"value": value, "hourly": f"CAST(round({value} / {P.MONTHLY_HOURS}.0) AS BIGINT)"}
+    parts = [f"'{before}'" + (f" || format('{{:{form}}}', {fields[field]})" if field else "") for before, field, form in M.pieces(text)]
+    return " || ".join(parts)
+
+
+#: The numbers that messages state, as SQL over a clause's text.
+VALUE_SQL = {
+    "min_wage": _n(rf"시급\s*(?:금)?\s*{NUM}"),
+    "min_wage_monthly": _n(rf"(?:월|월급|월\s*급여|임금)\s*(?:금)?\s*{NUM}\s*원"),
+    "probation": _n(rf"수습{GAP}{{0,20}}?{NUM}\s*개월"),
+    "annual_leave": f"coalesce({_n(LEAVE_1)}, {_n(LEAVE_2)})",
+    "daily_hours": _n(rf"1\s*일\s*{NUM}\s*시간"),
+    "weekly_hours": _n(rf"(?:1\s*주|주\s*간){GAP}{{0,10}}?{NUM}\s*시간"),
+    "dismissal_notice": _n(rf"해고{GAP}{{0,30}}?{NUM}\s*일\s*전"),
+    "settlement": _n(rf"퇴직{GAP}{{0,25}}?(?:임금|급여|금품){GAP}{{0,25}}?{NUM}\s*일\s*이내"),
+    "pay_cut": _n(rf"(?:감봉|감급){GAP}{{0,30}}?{NUM}\s*(?:퍼센트|%)"),
+    "fixed_term": _n(r"(?:계약|근로)\s*기간(?:[^.\n]{0,24}?[^0-9.\n])?([1-9])\s*년"),
+}
+#: When the message without a number is the one.
+PLAIN_SQL = {"annual_leave": _says(rf"연차{GAP}{{0,20}}?(?:없|미지급|부여하지)"), "pay_cut": f"coalesce({VALUE_SQL['pay_cut']}, 0) <= 10"}
+
+
+def _message(which: int) -> str:
+    def one(name: str) -> str:
+        full = _filled(M.RULE_MESSAGES[name][which], VALUE_SQL.get(name, "NULL"))
+        return f"CASE WHEN {PLAIN_SQL[name]} THEN {_filled(M.PLAIN_MESSAGES[name][which], 'NULL')} ELSE {full} END" if name in PLAIN_SQL else full
+
+    return "CASE rule " + " ".join(f"WHEN '{name}' THEN {one(name)}" for name in M.RULE_MESSAGES) + " END"
+
+
+#: After FINDINGS: findings with what they say.
+WORDED = f"worded AS (SELECT f.*, {_message(0)} AS reason, {_message(1)} AS suggestion FROM findings f JOIN clauses USING (doc_id, clause_seq))"
 RISK = """
     n AS (SELECT c.doc_id, count(*) FILTER (severity = 'violation') AS violations, count(*) FILTER (severity = 'unfavorable') AS unfavorable FROM c LEFT JOIN findings USING (doc_id) GROUP BY c.doc_id)
     SELECT doc_id, violations, unfavorable, CAST(least(100, 25 * violations + 10 * unfavorable) AS INT) AS score,
@@ -138,6 +175,20 @@ def review_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.review(clauses, rules.run_rules(clauses)).select("doc_id", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("sha256"))
 
 
+def numbered_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in the place of statutes: (id, law, article, title, text), by their number."""
+    no = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("사용자는 "), "n_name", F.lit("의 기준을 지켜야 한다. 이를 어긴 약정은 그 부분에 한하여 무효로 한다."))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("근로기준법-제"), no, F.lit("조")).alias("id"), F.lit("근로기준법").alias("law"), F.concat(F.lit("제"), no, F.lit("조")).alias("article"), F.col("n_name").alias("title"), text.alias("text"))
+
+
+def review_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole review of each contract with reasons, laws, quotes and suggestions, as length and hash; nations stand in for statutes."""
+    clauses = _clauses(spark, sf_dir)
+    found = rules.with_quotes(rules.worded(tiers.hit_rows(tiers.annotated(clauses))), numbered_laws(spark, sf_dir))
+    return report.opinion(clauses, found).select("doc_id", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("sha256"))
+
+
 def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind and confidence by structure, and the features that decide."""
     seen = contracts(spark, sf_dir).withColumn("s", checks.structure(F.col("text"))).withColumn("v", checks.verdict(F.col("s")))
@@ -207,7 +258,7 @@ _FEATURES = f"""f AS (SELECT doc_id, text, {" + ".join(f"CAST({e} AS INT)" for e
       WHEN says AND n_execution_signals > 0 THEN 'contractor .65' ELSE 'other .6' END AS v FROM f)"""
 _MASKED = "replace(replace(regexp_replace(regexp_replace(text, '한빛[0-9]+상사', '[사업체명]', 'g'), '02-123-[0-9]{4}', '[연락처]', 'g'), '성명 : ' || '김' || doc_id || ' (서명)', '성명 : [성명] (서명)'), '', '')"
 
-QUERIES = {f.__name__: f for f in (clause_segmentation, rule_findings, law_summary, contract_risk, clause_highlights, report_meta, unflagged_clauses, review_digest, document_types, missing_terms, contract_checks, masked_contracts, pii_by_kind, expected_findings, rule_scores)}
+QUERIES = {f.__name__: f for f in (clause_segmentation, rule_findings, law_summary, contract_risk, clause_highlights, report_meta, unflagged_clauses, review_digest, review_opinions, document_types, missing_terms, contract_checks, masked_contracts, pii_by_kind, expected_findings, rule_scores)}
 ORACLE_SQL = {
     "clause_segmentation": f"WITH {LINES} SELECT * FROM clauses",
     "rule_findings": f"WITH {FINDINGS} SELECT * FROM findings",
@@ -224,6 +275,15 @@ ORACLE_SQL = {
         m AS (SELECT doc_id, string_agg('### ' || CASE WHEN worst = 0 THEN '🔴 ' WHEN worst = 1 THEN '🟡 ' ELSE '' END || CASE WHEN article_no IS NULL THEN title ELSE '제' || article_no || '조 ' || title END || chr(10) || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || coalesce(lines, ''), chr(10) || chr(10) ORDER BY clause_seq) AS m
               FROM clauses LEFT JOIN f USING (doc_id, clause_seq) GROUP BY doc_id)
         SELECT doc_id, CAST(length(m) AS INT) AS n_chars, sha256(m) AS sha256 FROM m""",
+    "review_opinions": f"""WITH {FINDINGS}, {WORDED}, quoted AS (SELECT worded.*, coalesce(CASE WHEN n_name IS NOT NULL THEN CASE WHEN rule IN ('daily_hours', 'retaliation', 'fixed_term_renewal', 'marriage_pregnancy', 'probation', 'parental_leave')
+                THEN '이를 어긴 약정은 그 부분에 한하여 무효로 한다.' ELSE '사용자는 ' || n_name || '의 기준을 지켜야 한다.' END END, '') AS quote
+            FROM worded LEFT JOIN nation ON law_id = '근로기준법-제' || n_nationkey || '조'),
+        below AS (SELECT doc_id, clause_seq, min(CASE severity WHEN 'violation' THEN 0 ELSE 1 END) AS worst,
+            string_agg('**문제** — ' || reason || chr(10) || chr(10) || '**근거** — ' || law_id || chr(10) || '> ' || quote || chr(10) || chr(10) || '**수정 제안** — ' || suggestion || chr(10) || chr(10), '' ORDER BY CASE severity WHEN 'violation' THEN 0 ELSE 1 END, rule_ord) AS said FROM quoted GROUP BY ALL),
+        pieces AS (SELECT doc_id, clause_seq, '## ' || CASE WHEN worst = 0 THEN '🔴' WHEN worst = 1 THEN '🟡' ELSE '' END || ' ' || CASE WHEN article_no > 0 THEN '제' || article_no || '조 ' || title ELSE title END
+            || chr(10) || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || coalesce(said, '') || chr(10) AS part FROM clauses LEFT JOIN below USING (doc_id, clause_seq)),
+        whole AS (SELECT doc_id, '{M.REVIEW_HEAD}' || string_agg(part, '' ORDER BY clause_seq) || '{M.REVIEW_FOOT}' AS m FROM pieces GROUP BY doc_id)
+        SELECT doc_id, CAST(length(m) AS INT) AS n_chars, sha256(m) AS sha256 FROM whole""",
     "document_types": f"WITH c AS ({CONTRACTS_SQL}), {_FEATURES} SELECT doc_id, split_part(v, ' ', 1) AS kind, CAST('0' || split_part(v, ' ', 2) AS DOUBLE) AS confidence, titled_employment, articles, n_required_found, n_parties, n_contractor_signals, n_title_markers, n_execution_signals, n_subordination_signals FROM v",
     "missing_terms": f"""WITH c AS ({CONTRACTS_SQL}), {_FEATURES}, m AS (SELECT doc_id, concat_ws(',', {", ".join(f"CASE WHEN NOT {_REQUIRED[k]} THEN '{k}' END" for k in P.MANDATORY)}) AS missing FROM v WHERE v LIKE 'employment%')
         SELECT doc_id, missing FROM m WHERE missing <> ''""",

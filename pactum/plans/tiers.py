@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactum.functions import messages as M
 from pactum.functions import patterns as P
 from pactum.functions import text as T
 from pactum.operators import checks, classifier, evaluation, masking, report, retrieval, rules, tiers
 from pactum.operators.judging import quarantined
 from pactum.operators.segmentation import segment
-from pactum.plans.contracts import _FEATURES, CONTRACTS_SQL, FINDINGS, LINES
+from pactum.plans.contracts import _FEATURES, CONTRACTS_SQL, FINDINGS, LINES, WORDED
 from pactum.sources.derived import TITLES, contracts
 
 #: A stand-in for a fitted model, so that SQL can say the same: words of a clause, the label and its confidence.
@@ -29,12 +30,12 @@ def _model(clauses: DataFrame) -> DataFrame:
     for words, name, p in SPOKEN:
         label, confidence = F.when(F.contains("text", F.lit(words)), name).otherwise(label), F.when(F.contains("text", F.lit(words)), p).otherwise(confidence)
     laws = sorted({r.law_id for r in rules.RULES})
-    known, info = spark.createDataFrame([(x,) for x in laws], "id string"), spark.createDataFrame([(x, "violation") for x in laws], "law_id string, severity string")
+    known, info = spark.createDataFrame([(x,) for x in laws], "id string"), spark.createDataFrame([(x, "violation", f"{x} 참고.", "수정") for x in laws], "law_id string, severity string, reason string, suggestion string")
     return classifier.with_model_hit(clauses.withColumn("predicted", label).withColumn("confidence", confidence), known, info, [])
 
 
 def _judge(clauses: DataFrame) -> DataFrame:
-    found = F.struct(F.lit(2000).alias("rule_ord"), F.lit("judge").alias("rule"), F.lit("근로기준법-제55조").alias("law_id"), F.lit("unfavorable").alias("severity"), F.lit(0).alias("sentence"), F.lit("llm").alias("source"))
+    found = F.struct(F.lit(2000).alias("rule_ord"), F.lit("judge").alias("rule"), F.lit("근로기준법-제55조").alias("law_id"), F.lit("unfavorable").alias("severity"), F.lit(0).alias("sentence"), F.lit("llm").alias("source"), F.lit("휴일 확인").alias("reason"))
     return clauses.withColumn("hit", F.when(F.contains("text", F.lit(ASKED)), found))
 
 
@@ -47,7 +48,7 @@ def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = contracts(spark, sf_dir).withColumn("structure", checks.structure(F.col("text")))
     docs = docs.withColumn("whole", tiers.whole_hit(checks.verdict(F.col("structure"))["kind"], F.col("structure")))
     rows = tiers.annotated(segment(docs, carry=("whole",), outer=True), model=_model, judge=_judge)
-    return tiers.placed(tiers.hit_rows(rows, "whole")).select("doc_id", "position", "clause_seq", "rule", "law_id", "severity", "source")
+    return rules.worded(tiers.placed(tiers.hit_rows(rows, "whole"))).select("doc_id", "position", "clause_seq", "rule", "law_id", "severity", "source", "reason", "suggestion")
 
 
 def tier_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,10 +189,13 @@ def _parts(pattern: str) -> str:
 
 
 ORACLE_SQL = {
-    "full_report": f"""WITH {_TIERS}, {_FEATURES}, whole AS (SELECT doc_id, CAST(NULL AS INT) AS clause_seq, 0 AS rule_ord, 'missing_terms' AS rule, {MISSING} AS law_id, 'violation' AS severity, 'rule' AS source
-            FROM v WHERE v LIKE 'employment%' AND NOT ({" AND ".join(_REQUIRED[k] for k in P.MANDATORY)})),
-        u AS (SELECT * FROM found UNION ALL SELECT * FROM whole)
-        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY clause_seq IS NULL, severity <> 'violation', CASE source WHEN 'rule' THEN 0 WHEN 'model' THEN 1 ELSE 2 END, clause_seq, rule_ord) AS INT) AS position, clause_seq, rule, law_id, severity, source FROM u""",
+    "full_report": f"""WITH {_TIERS}, {WORDED}, {_FEATURES}, gone AS (SELECT doc_id, concat_ws(', ', {", ".join(f"CASE WHEN NOT {_REQUIRED[k]} THEN '{k}' END" for k in P.MANDATORY)}) AS missing FROM v WHERE v LIKE 'employment%'),
+        whole AS (SELECT doc_id, CAST(NULL AS INT) AS clause_seq, 0 AS rule_ord, 'missing_terms' AS rule, {MISSING} AS law_id, 'violation' AS severity, 'rule' AS source,
+            {M.MISSING_MESSAGE[0].replace("{missing}", "' || missing || '").join("''")} AS reason, '{M.MISSING_MESSAGE[1]}' AS suggestion FROM gone WHERE missing <> ''),
+        u AS (SELECT *, 'rule' AS source FROM worded UNION ALL BY NAME SELECT * FROM whole
+            UNION ALL BY NAME SELECT model.*, CASE WHEN severity = 'unfavorable' THEN '{M.UNSURE}' ELSE '' END || law_id || ' 참고. (분류기 확신도 ' || CAST(round({_SURE} * 100) AS INT) || '%)' AS reason, '수정' AS suggestion FROM model JOIN clauses USING (doc_id, clause_seq)
+            UNION ALL BY NAME SELECT *, '휴일 확인' AS reason, '' AS suggestion FROM judge)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY clause_seq IS NULL, severity <> 'violation', CASE source WHEN 'rule' THEN 0 WHEN 'model' THEN 1 ELSE 2 END, clause_seq, rule_ord) AS INT) AS position, clause_seq, rule, law_id, severity, source, reason, suggestion FROM u""",
     "tier_meta": f"WITH {_TIERS}, {_META} SELECT * FROM meta",
     "screen_counts": f"""WITH {_TIERS}, {_META}, said AS (SELECT doc_id, clause_seq, {_Q.format("substring(text, 1, 20)")} AS q, clause_seq + doc_id % 2 AS other FROM clauses),
         gate AS (SELECT said.doc_id, length(q) >= 12 AND coalesce(contains({_Q.format("o.text")}, q), false) AS passed FROM said LEFT JOIN clauses o ON o.doc_id = said.doc_id AND o.clause_seq = other),
