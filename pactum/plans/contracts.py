@@ -65,7 +65,7 @@ RULE_SQL = {
     "annual_leave": ("근로기준법-제60조", "violation", f"(contains(text, '연차') OR contains(text, '유급휴가')) AND ({_says(rf'연차{GAP}{{0,20}}?(?:없|미지급|부여하지)')} OR coalesce({_n(LEAVE_1)}, {_n(LEAVE_2)}) < 15)"),
     "daily_hours": ("근로기준법-제50조", "violation", DAY),
     "weekly_hours": ("근로기준법-제50조", "violation", f"NOT coalesce({DAY}, false) AND " + _n(rf"(?:1\s*주|주\s*간){GAP}{{0,10}}?{NUM}\s*시간") + " > 40"),
-    "unpaid_overtime": ("근로기준법-제56조", "violation", _says(rf"(?:연장|야간|휴일|초과)\s*근로{GAP}{{0,30}}?(?:수당|가산){GAP}{{0,20}}?(?:없|미지급|포함된 것으로|지급하지)")),
+    "unpaid_overtime": ("근로기준법-제56조", "violation", _says(rf"(?:연장|야간|휴일|초과)\s*근로{GAP}{{0,30}}?(?:수당|가산){GAP}{{0,20}}?(?:없|미지급|포함된 것으로|지급하지)") + " OR " + _says(r"(?:포괄|고정)\s*연장") + " AND " + _says(r"추가\s*지급하지")),
     "dismissal_notice": ("근로기준법-제26조", "violation", SOON),
     "dismissal_at_will": ("근로기준법-제23조", "violation", f"NOT coalesce({SOON}, false) AND " + _says(rf"(?:즉시|언제든지)\s*해고|사유\s*없이{GAP}{{0,10}}해고")),
     "settlement": ("근로기준법-제36조", "violation", _n(rf"퇴직{GAP}{{0,25}}?(?:임금|급여|금품){GAP}{{0,25}}?{NUM}\s*일\s*이내") + " > 14"),
@@ -78,13 +78,13 @@ RULE_SQL = {
     "fixed_term": ("기간제법-제4조", "unfavorable", LONG_TERM),
     "fixed_term_renewal": ("기간제법-제4조", "violation", f"NOT coalesce({LONG_TERM}, false) AND " + _says(rf"(?:갱신|연장){GAP}{{0,30}}?(?:2년\s*초과|무기계약{GAP}{{0,15}}?(?:아니|않)|전환되지)")),
     "retaliation": ("근로기준법-제104조", "violation", _says(rf"(?:노동청|노동위원회|고용노동부|근로감독관|진정|신고|고발){GAP}{{0,40}}?(?:해고|징계|불이익|계약\s*해지|퇴사)")),
-    "parental_leave": ("남녀고용평등법-제19조", "violation", _says(rf"육아휴직{GAP}{{0,40}}?(?:허용하지|불가|제외|거부|인정하지|해고|불이익)")),
-    "rules_change": ("근로기준법-제94조", "violation", _says(rf"취업규칙{GAP}{{0,40}}?(?:동의\s*없이|일방적|회사가\s*단독)")),
+    "parental_leave": ("남녀고용평등법-제19조", "violation", _says(rf"육아휴직{GAP}{{0,40}}?(?:허용하지|불가|제외|거부|인정하지|해고|불이익)|육아휴직{GAP}{{0,30}}?(?:복직|복귀){GAP}{{0,20}}?(?:보장하지|아니)")),
+    "rules_change": ("근로기준법-제94조", "violation", _says(rf"취업규칙{GAP}{{0,40}}?(?:동의\s*없이|일방적|회사가\s*단독|의견\s*청취{GAP}{{0,10}}?(?:없|생략))")),
     "discrimination": ("근로기준법-제6조", "violation", _says(rf"(?:국적|출신|신앙|종교|혼인\s*여부|학벌|출신지){GAP}{{0,30}}?(?:따라|이유로){GAP}{{0,25}}?(?:차등|차별|달리|제한)")),
-    "harassment": ("근로기준법-제76조의2", "violation", _says(rf"(?:괴롭힘|폭언|따돌림|갑질){GAP}{{0,40}}?(?:문제\s*삼지|이의|책임지지|해당하지)")),
+    "harassment": ("근로기준법-제76조의2", "violation", _says(rf"(?:괴롭힘|폭언|따돌림|갑질){GAP}{{0,40}}?(?:문제\s*삼지|이의|책임지지|해당하지)|(?:괴롭힘|고충){GAP}{{0,30}}?(?:신고|제기){GAP}{{0,25}}?(?:금지|할\s*수\s*없|불이익)")),
     "maternity_leave": ("근로기준법-제74조", "violation", _says(rf"출산(?:전후)?\s*휴가{GAP}{{0,35}}?(?:부여하지|없|무급|제외|허용하지)|{BORN}") + f" AND coalesce({_n(BORN)} < 90, true)"),
     "spouse_leave": ("남녀고용평등법-제18조의2", "violation", _says(rf"배우자{GAP}{{0,20}}?출산{GAP}{{0,25}}?(?:휴가{GAP}{{0,15}}?(?:없|부여하지|무급)|불이익|해고)")),
-    "job_interference": ("근로기준법-제40조", "violation", _says(rf"(?:재취업|이직|취업){GAP}{{0,30}}?(?:방해|명단|블랙리스트|통보하여)")),
+    "job_interference": ("근로기준법-제40조", "violation", _says(rf"(?:재취업|이직|취업){GAP}{{0,30}}?(?:방해|명단|블랙리스트|통보하여)|(?:퇴사자|퇴직자){GAP}{{0,25}}?명단{GAP}{{0,25}}?(?:공유|통보|제공)")),
 }
 FINDINGS = LINES + ",\n    findings AS (" + " UNION ALL ".join(f"SELECT doc_id, clause_seq, {i} AS rule_ord, '{name}' AS rule, '{law}' AS law_id, '{sev}' AS severity FROM clauses WHERE {cond}" for i, (name, (law, sev, cond)) in enumerate(RULE_SQL.items())) + ")"
 

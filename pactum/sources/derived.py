@@ -48,6 +48,12 @@ CLAUSES = [
     "근무장소와 담당업무는 따로 정하는 바에 따른다.",
     "근로자는 출퇴근 시각을 지키고 회사의 지휘와 감독을 받는다.",
     "수급인은 용역 산출물을 납품하고 검수를 받아 대금을 받는다.",
+    "포괄 연장 수당 외에 추가 지급하지 않는다.",
+    "육아휴직 후 복귀를 보장하지 않는다.",
+    "취업규칙을 바꿀 때 의견 청취 절차를 생략한다.",
+    "고충을 외부에 제기하는 것을 금지한다.",
+    "퇴직자 명단을 거래처에 공유할 수 있다.",
+    "감봉의 한도는 회사가 정하는 바에 따른다.",
 ]
 TITLES = ["표준근로계약서", "근로계약서", "용역계약서", "수료증", "계약 안내"]
 _BANK = "~".join(CLAUSES)
@@ -98,6 +104,12 @@ LABELS = {
     30: ("근로기준법-제74조", "violation", "small < 90"),
     31: ("남녀고용평등법-제18조의2", "violation", "true"),
     32: ("근로기준법-제40조", "violation", "true"),
+    37: ("근로기준법-제56조", "violation", "true"),
+    38: ("남녀고용평등법-제19조", "violation", "true"),
+    39: ("근로기준법-제94조", "violation", "true"),
+    40: ("근로기준법-제76조의2", "violation", "true"),
+    41: ("근로기준법-제40조", "violation", "true"),
+    42: ("근로기준법-제95조", "violation", "true"),
 }
 
 
