@@ -139,6 +139,8 @@ RULES: list[Rule] = [
     Rule("job_interference", f"{LSA}-제40조", V, 0, says(any_of(near("재취업|이직|취업", 30, "방해|명단|블랙리스트|통보하여"), near("퇴사자|퇴직자", 25, "명단", 25, "공유|통보|제공")))),
 ]
 
+#: Rules that stand for the second outcome of the one before.
+SECOND_OUTCOMES = ("weekly_hours", "dismissal_at_will", "fixed_term_renewal")
 
 #: A finding beside its clause. value: the number that its message states; reason and suggestion: those that a tier words itself.
 HIT = "struct<rule_ord:int,rule:string,law_id:string,severity:string,sentence:int,source:string,value:bigint,reason:string,suggestion:string>"

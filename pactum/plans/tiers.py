@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pactum.functions import messages as M
 from pactum.functions import patterns as P
 from pactum.functions import text as T
-from pactum.operators import checks, classifier, evaluation, masking, report, retrieval, rules, tiers
+from pactum.operators import checks, classifier, evaluation, masking, report, retrieval, rules, screens, tiers
 from pactum.operators.judging import quarantined
 from pactum.operators.segmentation import segment
-from pactum.plans.contracts import _FEATURES, CONTRACTS_SQL, FINDINGS, LINES, WORDED
+from pactum.plans.contracts import _FEATURES, CONTRACTS_SQL, FINDINGS, LINES, WORDED, numbered_laws
+from pactum.plans.texts import MAIL
 from pactum.sources.derived import TITLES, contracts
 
 #: A stand-in for a fitted model, so that SQL can say the same: words of a clause, the label and its confidence.
@@ -159,7 +160,31 @@ def masking_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.find_spans(contracts(spark, sf_dir)).select("doc_id", masking.summary(F.col("spans")).alias("summary"))
 
 
-QUERIES = {f.__name__: f for f in (full_report, tier_meta, screen_counts, card_counts, finding_cards, vote_combined, type_accuracy, probe_counts, judge_gate, judge_prompts, sentence_texts, normal_rows, fallback_clauses, tidy_readings, masking_summaries)}
+def block_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts whose score isn't shown, by why, and the title that is shown for it."""
+    docs = contracts(spark, sf_dir).select("doc_id", checks.input_check(F.col("text")).alias("c"), checks.verdict(checks.structure(F.col("text"))).alias("v"))
+    return docs.select("doc_id", screens.blocked(F.col("c"), F.col("v")).alias("b")).select("doc_id", F.col("b").isNotNull().alias("blocked"), "b.why", "b.title")
+
+
+def page_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files with a page for each turn: what of the first three pages would be hidden (mail addresses)."""
+    turns = _table(spark, sf_dir, "conversations")
+    files = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("total_pages")).select(F.col("conv_id").alias("doc_id"), "total_pages", F.when(F.col("conv_id") % 10 == 3, "unreadable").alias("error"))
+    words = turns.where("conv_id % 10 <> 4").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.posexplode(F.split("text", " ")).alias("i", "text"))
+    x0, top = (F.col("i") % 10) * 50.0, F.floor(F.col("i") / 10) * 12.0
+    placed = words.withColumns({"x0": x0, "x1": x0 + 40.0, "top": top, "bottom": top + 10.0})
+    out = screens.page_previews(files, placed, [("이메일", MAIL)], None)
+    boxes = F.aggregate("pages", F.lit(0).cast("long"), lambda n, p: n + p["boxes"])
+    return out.select("doc_id", "ok", "reason", F.size("pages").alias("n_pages"), boxes.alias("n_boxes"), F.coalesce(F.try_element_at("counts", F.lit("이메일")), F.lit(0)).cast("long").alias("n_mails"), "total_pages", "truncated")
+
+
+def system_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the statutes in use (nations stand in, those of one region verified), the rules and the labels of the language model."""
+    laws = numbered_laws(spark, sf_dir).join(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), (F.col("n_regionkey") == 1).alias("verified")), "title")
+    return screens.system_info(laws)
+
+
+QUERIES = {f.__name__: f for f in (block_decisions, page_previews, system_state, full_report, tier_meta, screen_counts, card_counts, finding_cards, vote_combined, type_accuracy, probe_counts, judge_gate, judge_prompts, sentence_texts, normal_rows, fallback_clauses, tidy_readings, masking_summaries)}
 
 _RULE_LAWS = ", ".join(f"'{x}'" for x in sorted({r.law_id for r in rules.RULES}))
 _SPOKEN = "CASE " + " ".join(f"WHEN contains(text, '{w}') THEN {{}}" for w, _, _ in SPOKEN[::-1]) + " END"
@@ -189,6 +214,14 @@ def _parts(pattern: str) -> str:
 
 
 ORACLE_SQL = {
+    "block_decisions": f"""WITH c AS ({CONTRACTS_SQL}), {_FEATURES}, n AS (SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) AS n, {" + ".join(f"CAST(contains(text, '{t}') AS INT)" for t in P.CONTRACT_TERMS)} AS terms, split_part(v, ' ', 1) AS kind FROM v),
+        w AS (SELECT doc_id, CASE WHEN n < 50 THEN 'too_short' WHEN terms < 3 THEN 'not_contract' WHEN kind = 'employment' THEN NULL ELSE kind END AS why FROM n)
+        SELECT doc_id, why IS NOT NULL AS blocked, why, CASE why WHEN 'contractor' THEN '{screens.NOT_EMPLOYMENT["contractor"]}' WHEN 'other' THEN '{screens.NOT_EMPLOYMENT["other"]}' END AS title FROM w""",
+    "page_previews": """WITH t AS (SELECT conv_id AS doc_id, turn, len(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9_.]+')) AS m, conv_id % 10 <> 4 AND turn < 3 AND text IS NOT NULL AS seen FROM conversations),
+        d AS (SELECT doc_id, max(turn) + 1 AS total_pages, count(*) FILTER (seen) AS pages, coalesce(sum(m) FILTER (seen), 0) AS mails, CASE WHEN doc_id % 10 = 3 THEN 'error' WHEN count(*) FILTER (seen) = 0 THEN 'scanned' ELSE 'ok' END AS reason FROM t GROUP BY doc_id)
+        SELECT doc_id, reason = 'ok' AS ok, reason, CAST(CASE WHEN reason = 'ok' THEN pages ELSE 0 END AS INT) AS n_pages, CAST(CASE WHEN reason = 'ok' THEN mails ELSE 0 END AS BIGINT) AS n_boxes, CAST(CASE WHEN reason = 'ok' THEN mails ELSE 0 END AS BIGINT) AS n_mails,
+            total_pages, reason = 'ok' AND total_pages > 3 AS truncated FROM d""",
+    "system_state": "SELECT count(*) AS law_count, count(*) FILTER (n_regionkey <> 1) AS unverified, 26 AS rule_count, false AS classifier_loaded, 0 AS classifier_classes, 10320 AS min_wage, 2026 AS min_wage_year FROM nation",
     "full_report": f"""WITH {_TIERS}, {WORDED}, {_FEATURES}, gone AS (SELECT doc_id, concat_ws(', ', {", ".join(f"CASE WHEN NOT {_REQUIRED[k]} THEN '{k}' END" for k in P.MANDATORY)}) AS missing FROM v WHERE v LIKE 'employment%'),
         whole AS (SELECT doc_id, CAST(NULL AS INT) AS clause_seq, 0 AS rule_ord, 'missing_terms' AS rule, {MISSING} AS law_id, 'violation' AS severity, 'rule' AS source,
             {M.MISSING_MESSAGE[0].replace("{missing}", "' || missing || '").join("''")} AS reason, '{M.MISSING_MESSAGE[1]}' AS suggestion FROM gone WHERE missing <> ''),
