@@ -7,11 +7,12 @@ rightmost of equal ones. Two texts that share W + K - 1 characters share a chose
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.buffers import GOLDEN, U64, mix, ranges
@@ -102,6 +103,43 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
+def range_of(ids: DataFrame, n: int) -> Column:
+    """The range of a row (doc_id, tie), about n in all, ascending by (doc_id, tie) with null ids first; tie is a 64-bit hash.
+
+    Bounds are quantiles of the ids, and the share of null ids is counted. An id that several bounds fall on, and the
+    null ids, are cut into as many ranges by tie, so that neither is one task; rows with one id and one tie share a range.
+    """
+    shares = [k / n for k in range(1, n)]
+    bounds = [int(b) for b in sorted(ids.where("doc_id is not null").approxQuantile("doc_id", shares, 0.2 / n))] if shares else []
+    count = ids.agg(F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count("*").alias("rows")).first()
+    empty = -(-n * count["nulls"] // max(1, count["rows"]))
+    values = sorted(set(bounds))
+    upto = [0, *(bisect_right(bounds, v) for v in values)]
+
+    # the number of distinct bounds up to the id, by a binary search
+    longs = lambda items: F.array(*[F.lit(x).cast("long") for x in items]).cast("array<long>")
+    cuts, sums = longs(values), longs(upto)
+
+    def halve(at, _):
+        mid = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        below = F.col("doc_id") < F.get(cuts, mid)
+        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(F.when(below, at["low"]).otherwise(mid + 1).alias("low"), F.when(below, mid).otherwise(at["high"]).alias("high")))
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(values)).alias("high"))
+    step = F.aggregate(F.sequence(F.lit(0), F.lit(len(values).bit_length())), whole, halve, lambda at: at["low"])
+
+    def split(parts: Column) -> Column:
+        return F.least(F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * parts), parts - 1).cast("int")
+
+    def placed(j: Column) -> Column:
+        last, parts = F.get(sums, j), F.get(sums, j) - F.get(sums, j - 1)
+        on = (j > 0) & (F.get(cuts, j - 1) == F.col("doc_id"))
+        return (last + F.when(on, split(parts) - parts + 1).otherwise(0)).cast("int")
+
+    known = F.get(F.transform(F.array(step), placed), 0)
+    return F.when(F.col("doc_id").isNull(), split(F.lit(empty))).otherwise(known + empty)
+
+
 def edit_test(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's.
 
@@ -110,25 +148,14 @@ def edit_test(docs: DataFrame) -> DataFrame:
     ordered by their text's hash; of equal rows each is the next of another. A fingerprint is the choices in order of their places,
     hashes as eight hexadecimal digits; likeness is that of the sets of hashes.
 
-    One shuffle: rows go to ranges of ids; the first row of a range goes to the range before it as well, so every
+    One shuffle: rows go to ranges (``range_of``); the first row of a range goes to the range before it as well, so every
     row meets its successor in its own task. Bounds and first rows of the ranges are a few numbers for each range.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("doc_id", F.xxhash64("text").alias("tie"))
-    bounds = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)))
-
-    # the number of bounds up to the id, by a binary search; null ids are in the first range
-    cuts = F.array(*[F.lit(int(b)).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-
-    def halve(at, _):
-        mid = F.floor((at["low"] + at["high"]) / 2).cast("int")
-        below = F.col("doc_id") < F.get(cuts, mid)
-        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(F.when(below, at["low"]).otherwise(mid + 1).alias("low"), F.when(below, mid).otherwise(at["high"]).alias("high")))
-
-    whole = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), whole, halve)["low"])
+    part = range_of(ids, n)
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")
     heads = sorted((r.part, r.head) for r in ids.groupBy(part.alias("part")).agg(F.min(order).alias("head")).collect())
     if not heads:

@@ -385,6 +385,31 @@ def test_edited_texts(spark):
     assert [(r.near_next,) for r in single] == [(1.0,)]
 
 
+def test_null_and_repeated_ids_are_dealt_over_ranges(spark):
+    """Rows of one id, and those without an id, follow each other by their texts' hashes, in ranges of about one size."""
+    rng = random.Random(12)
+    rows = [(9, f"{i} {prose(rng, 6)}") for i in range(250)] + [(None, f"{i} {prose(rng, 6)}") for i in range(200)] + [(i, f"{i} {prose(rng, 6)}") for i in range(-60, 90)]
+    docs = frame(spark, rows)
+    ties = {(r.doc_id, r.text): r.tie for r in docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r]))
+    want = []
+    for (d, t), (_, x) in zip(order, [*order[1:], order[0]]):
+        e = t[: len(t) - len(t) // 4] + x[: len(t) // 4]
+        want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest()))
+    got = [tuple(r) for r in fingerprints.edit_test(docs).select("doc_id", "n_chars", "edited_sha256").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    ids = docs.select("doc_id", F.xxhash64("text").alias("tie"))
+    for n in (1, 2, 20):
+        dealt = sorted(ids.withColumn("part", fingerprints.range_of(ids, n)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
+        parts = [r.part for r in dealt]
+        assert parts == sorted(parts) and min(parts) >= 0
+    assert max(parts.count(p) for p in set(parts)) < 3 * len(rows) / 20
+    for one in ([(9, t) for _, t in rows], [(None, t) for _, t in rows]):
+        ids = frame(spark, one).select("doc_id", F.xxhash64("text").alias("tie"))
+        sizes = [r["count"] for r in ids.groupBy(fingerprints.range_of(ids, 20).alias("p")).count().collect()]
+        assert len(sizes) >= 19 and max(sizes) < 3 * len(one) / 20
+
+
 def edits(a, b):
     row = np.arange(len(b) + 1)
     for i, x in enumerate(a, 1):
