@@ -206,7 +206,7 @@ def missing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readability check of every contract."""
     c = contracts(spark, sf_dir).select("doc_id", checks.input_check(F.col("text")).alias("c"), order_score(F.col("text")).alias("order_score"))
-    return c.select("doc_id", "c.reason", "c.weak", "c.length", "c.terms", "order_score")
+    return c.select("doc_id", "c.reason", "c.weak", F.col("c.n_chars").alias("length"), F.col("c.n_terms").alias("terms"), "order_score")
 
 
 def masked_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from pactum.operators import checks, masking, report, rules
 from pactum.operators.segmentation import segment
+from pactum.plans import contracts
 
 
 def clauses(spark, text):
@@ -147,6 +149,19 @@ def test_input_checks(spark):
     assert ok.ok and ok.weak
 
 
+def test_checks_state_length_and_terms_of_every_contract(spark, tmp_path):
+    # customers 1392 and 10164 have contracts with too few terms; their length and terms are stated all the same
+    source = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_custkey between 1 and 3")
+    keys = F.element_at(F.array(F.lit(1392), F.lit(10164), F.lit(1)), F.col("c_custkey").cast("int"))
+    source.withColumn("c_custkey", keys.cast("long")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = sorted(con.execute(contracts.ORACLE_SQL["contract_checks"]).fetchall())
+    got = contracts.contract_checks(spark, str(tmp_path)).select("doc_id", "reason", "weak", "length", "terms", "order_score")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert {r[0]: r[1:5] for r in want}[1392] == ("not_contract", None, 187, 2)
+
+
 def kind(spark, text):
     s = spark.createDataFrame([(text,)], "t string").select(checks.structure(F.col("t")).alias("s"))
     return s.select(checks.verdict(F.col("s")).alias("v")).first().v
