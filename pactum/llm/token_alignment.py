@@ -7,6 +7,7 @@ successors are doubled over whole batches until nothing changes. Then each token
 
 Over the corpus, pairs of ids are counted by their links. Documents travel in blocks of about 4 MB of text: a block holds its
 distinct pairs once and links as numbers of pairs, so a corpus-wide count is looked up once for each block, not for each link.
+Texts are aligned in slices of half a megabyte, which bounds a task's memory.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.buffers import ranges, utf8
+from pactum.llm.buffers import pieces, ranges, utf8
 from pactum.llm.pretokens import Encoder, vocabulary
 from pactum.llm.shared import stored
 from pactum.llm.token_files import library_solver
 
 BLOCK = 4 << 20
+#: Bytes of text that are aligned at once: what tokens, links and their sorting take in memory goes by it, not by the block.
+SLICE = 512 << 10
 #: Rows of the pair counts that a task hands on at once.
 ROWS = 200_000
 
@@ -42,10 +45,10 @@ def side_b(path: str):
     """The library's processor, and the bytes that each id stands for: pieces with U+2581 as a space, <0xHH> as that byte."""
     import sentencepiece
 
-    pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-    spell = lambda i: bytes([int(pieces.id_to_piece(i)[1:-1], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode()
-    strings = [spell(i) for i in range(pieces.get_piece_size())]
-    return pieces, strings
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    spell = lambda i: bytes([int(library.id_to_piece(i)[1:-1], 16)]) if library.is_byte(i) else library.id_to_piece(i).replace("▁", " ").encode()
+    strings = [spell(i) for i in range(library.get_piece_size())]
+    return library, strings
 
 
 def laid_out(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,8 +131,22 @@ class Aligner:
         words, cuts, spelled = code.tolist(), (ptr_a + ptr_b).tolist(), self.spelled
         return [hashlib.sha256("".join([spelled[c] for c in words[i:j]]).encode()).hexdigest() if j > i else "" for i, j in zip(cuts, cuts[1:])]
 
-    def block(self, texts: list[str | None]) -> dict:
+    def block(self, texts: pa.Array) -> dict:
         """One block: for each text its counts and digest; the distinct pairs, their counts, and each link's pair."""
+        got = [self.slice(texts[i:j].to_pylist()) for i, j, _, _ in pieces(texts, SLICE)]
+        out = {k: np.concatenate([g[k] for g in got]) for k in DOC[1:5]} | {"groups_sha256": [x for g in got for x in g["groups_sha256"]]}
+        # the slices' pairs as one list without repeats, and their links by its numbers
+        out["pairs"], to = np.unique(np.concatenate([g["pairs"] for g in got]), return_inverse=True)
+        out["counts"], first = np.zeros(len(out["pairs"]), np.int64), 0
+        for g in got:
+            own = to[first : first + len(g["pairs"])]
+            out["counts"][own] += g["counts"]
+            g["links"] = own[g["links"]].astype(np.uint32)
+            first += len(own)
+        return out | {"links": np.concatenate([g["links"] for g in got])}
+
+    def slice(self, texts: list[str | None]) -> dict:
+        """What ``block`` gives, of texts that are aligned at once."""
         spaced = pa.array([" " + (t or "") for t in texts], pa.large_string())
         data, offsets = utf8(spaced)
         ids_a, ptr_a, ids_b, ptr_b = self.spans(data, offsets, [t or "" for t in texts])
@@ -164,7 +181,7 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc
             for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
                 if i == j:
                     continue
-                got = aligner.block(batch.column(1)[i:j].to_pylist())
+                got = aligner.block(batch.column(1)[i:j])
                 columns = [pa.array([part << 33 | seq], pa.int64()), pa.array([batch.column(0)[i:j].to_pylist()], pa.list_(batch.schema.field(0).type))]
                 columns += [pa.array([got[k].tolist()], pa.list_(pa.int64())) for k in DOC[1:5]] + [pa.array([got["groups_sha256"]], pa.list_(pa.string()))]
                 columns += [pa.array([got[k].tobytes()], pa.binary()) for k in ("pairs", "counts", "links")]

@@ -3,10 +3,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -137,3 +139,19 @@ def test_query_over_all_documents(spark):
     ids = sorted(texts)
     got = {r.doc_id: r for r in queries.op12_token_alignment(spark, SF).collect()}
     assert result(got[i] for i in ids) == brute([texts[i] for i in ids])
+
+
+def test_a_block_takes_memory_by_its_slices(monkeypatch):
+    rng = random.Random(5)
+    texts = pa.array([" ".join("".join(rng.choices("etaonrisé ", k=rng.randint(2, 9))) for _ in range(300)) for _ in range(1200)] + [None, "", "a"])
+    aligner = token_alignment.Aligner(A, B)
+    aligner.block(texts[:1])
+    tracemalloc.start()
+    cut = aligner.block(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = len("".join(t or "" for t in texts.to_pylist()).encode())
+    assert size > 3 * token_alignment.SLICE and peak < 60 * size
+    monkeypatch.setattr(token_alignment, "SLICE", size + 1)
+    whole = aligner.block(texts)
+    assert cut.keys() == whole.keys() and all(np.array_equal(cut[k], whole[k]) for k in whole)
