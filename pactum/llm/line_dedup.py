@@ -10,12 +10,13 @@ the 64-bit hash of that form. Two lines are links if their edit similarity is SI
   then changes one block and leaves the others as they are, so of m blocks one is equal if fewer than m words differ
   (a replaced word counts twice), and by the luck of the classes often with more. Lines with an equal block meet.
 
-Pairs that meet are compared if their lengths and SimHashes allow a link: of the 60 bits kept, ten or five of a block,
-unrelated lines differ in about 30. Of each connected group of lines one occurrence stays, the first by document and line.
+Pairs that meet are compared if their lengths, their SimHashes and the counts of their letters allow a link: of the 60 bits kept,
+ten or five of a block, unrelated lines differ in about 30, and letters whose counts differ are edits (see ``bags``). Of each connected group of lines one occurrence stays, the first by document and line.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,10 @@ AGAIN, THIN = 5, 200
 MANY, HUGE = 131_072, 4096
 #: Features that a block must have to be a key.
 LEAST = 2
+#: Letters that are counted in both halves of a line; any would do.
+LETTERS = " etaonirhsdulc"
+#: Longs that hold a line's counts, four in each.
+BAGS = len(LETTERS) // 2
 #: Four lanes of 16 bits; counts are compared in 15 of each.
 ONES, TOPS = 0x0001000100010001, 0x4000400040004000
 
@@ -137,11 +142,36 @@ def pieces() -> list[tuple[int, int, int, int, int, int]]:
     return sorted(rows)
 
 
+def bags(rows: DataFrame) -> DataFrame:
+    """The rows with bag0, bag1, ...: how often the line norm has each of LETTERS in its first and its second half.
+
+    A count, by its rest of 32, is a ring code of 16 bits: codes differ in as many bits as the rests lie apart on the ring, so
+    in no more than the counts do. Where e edits turn one line into another, the counts of both halves together differ by
+    2 e + 1 at most: an edit changes two counts by one; letters that edits shift over the middle count twice, but the edits that
+    shift them are insertions or deletions, which change one count, and the middle moves with half the difference in length.
+    """
+    n = F.length("norm")
+    middle = F.floor(n / 2).cast("int")
+    halves = F.array(F.substring("norm", F.lit(1), middle), F.substring("norm", middle + 1, n))
+    letters = F.array(*map(F.lit, LETTERS))
+    rests = F.flatten(F.transform(halves, lambda p: F.transform(letters, lambda c: (F.octet_length(p) - F.octet_length(F.replace(p, c, F.lit("")))) % 32)))
+    ones = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1
+    ring = F.transform(rests, lambda r: F.when(r <= 16, ones(r)).otherwise(F.lit(0xFFFF) - ones(r - 16)))
+    longs = [F.shiftleft(F.get("ring", F.lit(i)), 16 * (i % 4)) for i in range(2 * len(LETTERS))]
+    packed = [functools.reduce(Column.bitwiseOR, longs[4 * k : 4 * k + 4]).alias(f"bag{k}") for k in range(BAGS)]
+    return rows.withColumn("ring", ring).select(*rows.columns, *packed)
+
+
 def _near(x: str, y: str) -> Column:
-    """Lengths and SimHashes allow a link; short lines, and those without a SimHash in common, may be one with any."""
+    """Lengths, SimHashes and letters allow a link; short lines, and those without a SimHash in common, may be one with any by SimHash.
+
+    Lines of over LONG letters, which are compared by words, may be one whatever their letters.
+    """
     longer, shorter = F.greatest(f"{x}.n", f"{y}.n"), F.least(f"{x}.n", f"{y}.n")
     apart = F.least(*[F.bit_count(F.col(f"{x}.sim{m}").bitwiseXOR(F.col(f"{y}.sim{m}"))) for m in (FEW, MORE)])
-    return (longer - shorter <= F.floor((1 - SIMILAR) * longer + 1e-9)) & ((longer < SHORT) | F.coalesce(apart <= DISTANCE, F.lit(True)))
+    most = F.floor((1 - SIMILAR) * longer + 1e-9)
+    edits = sum((F.bit_count(F.col(f"{x}.bag{k}").bitwiseXOR(F.col(f"{y}.bag{k}"))) for k in range(1, BAGS)), F.bit_count(F.col(f"{x}.bag0").bitwiseXOR(F.col(f"{y}.bag0"))))
+    return (longer - shorter <= most) & ((longer < SHORT) | F.coalesce(apart <= DISTANCE, F.lit(True))) & ((longer > LONG) | (edits <= 2 * most + 1))
 
 
 def _letters(norm: str) -> Column:
@@ -155,7 +185,9 @@ def similar(x: str, y: str) -> Column:
 
     def within(a: Column, b: Column) -> Column:
         most = F.floor((1 - SIMILAR) * F.greatest(F.length(a), F.length(b)) + 1e-9).cast("int")
-        return F.call_function("levenshtein", a, b, most) >= 0
+        # the work grows with the edits allowed: few are tried first, and all of them only where those don't do
+        tried = [F.call_function("levenshtein", a, b, F.floor(most / k).cast("int")) >= 0 for k in (8, 3)]
+        return tried[0] | tried[1] | (F.call_function("levenshtein", a, b, most) >= 0)
 
     return F.when(F.greatest(F.length(x), F.length(y)) <= LONG, within(F.col(x), F.col(y))).otherwise(within(_letters(x), _letters(y)))
 
@@ -179,7 +211,8 @@ def line_links(lines: DataFrame) -> DataFrame:
     seen = stored(_few(lines, wanted, "line").groupBy("line").agg(F.first("norm").alias("norm"), F.count("*").alias("times")))
     places = F.call_function("shiftleft", F.col("kept").cast("long"), F.col("class") * F.floor(60 / F.col("m")).cast("int"))
     sims = _few(hashed.where("kept is not null"), wanted, "line").groupBy("line").agg(*[F.bit_or(F.when(F.col("m") == k, places)).alias(f"sim{k}") for k in (FEW, MORE)])
-    looks = stored(seen.select("line", F.length("norm").alias("n"), "times").join(sims, "line", "left").select("line", "times", F.struct("n", f"sim{FEW}", f"sim{MORE}").alias("look")))
+    counted = [f"bag{k}" for k in range(BAGS)]
+    looks = stored(bags(seen).select("line", F.length("norm").alias("n"), "times", *counted).join(sims, "line", "left").select("line", "times", F.struct("n", f"sim{FEW}", f"sim{MORE}", *counted).alias("look")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = (seen.select(F.col("line").alias(c), F.col("norm").alias(v)) for c, v in (("a", "x"), ("b", "y")))
@@ -216,7 +249,10 @@ def line_links(lines: DataFrame) -> DataFrame:
     family = stored(placed.join(main, "cell").select("family", "line", "look", "component").distinct())
     rest = family.where("component <> family").select("family", F.col("line").alias("u"), F.col("component").alias("cu"), F.col("look").alias("su"))
     whole = family.select("family", F.col("line").alias("v"), F.col("component").alias("cv"), F.col("look").alias("sv"))
-    crossed = rest.join(whole, "family").where((F.col("cu") != F.col("cv")) & _near("su", "sv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    # lines whose lengths allow a link are of one band or of neighbours
+    of = lambda look: F.floor(F.log(F.col(f"{look}.n")) / -math.log(SIMILAR))
+    rest, whole = rest.withColumn("band", of("su")), whole.withColumn("band", F.explode(F.array(*[of("sv") + k for k in (-1, 0, 1)])))
+    crossed = rest.join(whole, ["family", "band"]).where((F.col("cu") != F.col("cv")) & _near("su", "sv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     links = links.union(confirmed(crossed.distinct()))
     release(hashed, met, members, pairs, wanted, looks, seen)
     return links

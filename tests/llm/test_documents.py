@@ -256,6 +256,39 @@ def test_blocks_by_hand(spark):
     assert got == {c: (len(hs), majority(hs)) for c, hs in want.items()}
 
 
+def with_edits(rng, line, edits):
+    x = list(line)
+    for _ in range(edits):
+        at, letter = rng.randrange(len(x)), rng.choice("etaonirs hdulczß")
+        kind = rng.randrange(3)
+        x[at : at + (kind > 0)] = [letter] if kind < 2 else []
+    return "".join(x)
+
+
+def test_letters_keep_all_links_and_few_other_pairs(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join("".join(rng.choices("etaonirshdulßy", k=rng.randint(2, 8))) for _ in range(40))
+    apart = lambda x, y: sum(((x[f"bag{k}"] ^ y[f"bag{k}"]) & (2**64 - 1)).bit_count() for k in range(line_dedup.BAGS))
+    base = [line() for _ in range(60)]
+    norm = base + [with_edits(rng, x, i % 20) for i, x in enumerate(base)] + ["", "a", "e", "ee" * 40, "ee" * 43]
+    got = {r.i: r for r in line_dedup.bags(spark.createDataFrame(list(enumerate(norm)), "i int, norm string")).collect()}
+    assert all(apart(got[i], got[60 + i]) <= 2 * (i % 20) + 1 for i in range(60))
+    assert apart(got[123], got[124]) <= 13
+    # lines of one length that share no SimHash: all pairs were compared by edit distance before
+    rows = spark.createDataFrame([(i, 240, None, None, *[got[i][f"bag{k}"] for k in range(line_dedup.BAGS)]) for i in range(60)], f"i int, n int, sim{line_dedup.FEW} long, sim{line_dedup.MORE} long, " + ", ".join(f"bag{k} long" for k in range(line_dedup.BAGS)))
+    x, y = (rows.select(F.col("i").alias(c), F.struct(*rows.columns[1:]).alias(f"s{c}")) for c in "ab")
+    assert x.join(y, F.col("a") < F.col("b")).where(line_dedup._near("sa", "sb")).count() < 60 * 59 / 2 / 10
+
+
+def test_similar_is_the_edit_distance(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcd ", k=rng.randint(20, 120))) for _ in range(300)]
+    rows = spark.createDataFrame([(x, with_edits(rng, x, rng.randrange(1 + len(x) // 8))) for x in base], "x string, y string")
+    most = F.expr("cast(floor(0.1 * greatest(length(x), length(y)) + 1e-9) as int)")
+    got = rows.select(line_dedup.similar("x", "y").alias("got"), (F.levenshtein("x", "y") <= most).alias("want")).collect()
+    assert all(r.got == r.want for r in got) and 30 < sum(r.want for r in got) < 300
+
+
 def test_recall_on_all_pairs(spark):
     """All pairs of lines of edit similarity 0.9 in a table, found by brute force; pairs are passed over only where counts of letter pairs prove them apart."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
