@@ -18,16 +18,20 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactum.functions.text import bound
 from pactum.llm.components import components
 from pactum.llm.shared import partitions, release, stored
 
 DISTANCE, SIMILAR, HOT = 28, 0.9, 8
 #: Rows of 8 bytes that are broadcast at most.
 BROADCAST = 1_000_000
+#: Documents with lists of line numbers that are broadcast at most.
+FEWER = 250_000
 #: Lines under SHORT characters meet by pieces. Those of over LONG are compared word by word.
 SHORT, LONG = 60, 2_000
 #: Words of over WORD letters count by their pairs of letters, so writing without blanks has features too.
@@ -40,6 +44,8 @@ FEW, MORE, EDGE = 6, 12, 200
 AGAIN, THIN = 5, 200
 #: Lines of MANY characters have HUGE blocks: no count of a block outgrows its lane.
 MANY, HUGE = 131_072, 4096
+#: Lines of a family are compared in squares of SIDE by SIDE; distances that spare comparisons are taken where GAIN times as many may go.
+SIDE, GAIN = 64, 8
 #: Features that a block must have to be a key.
 LEAST = 2
 #: Letters that are counted in both halves of a line; any would do.
@@ -180,16 +186,83 @@ def _letters(norm: str) -> Column:
     return F.decode(F.unhex(F.array_join(coded, "")), "UTF-16BE")
 
 
+def _common(a: Column, b: Column) -> Column:
+    """The letters that a and b begin with alike, or fewer if over 2 ** 17 are."""
+    most = F.least(F.length(a), F.length(b))
+    same = lambda p, k: (p + k <= most) & (F.substring(a, p + 1, k) == F.substring(b, p + 1, k))
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(16, -1, -1)]), F.lit(0), lambda p, k: F.when(same(p, k), p + k).otherwise(p))
+
+
+def _middles(a: Column, b: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """``then`` of what is left of a and b without what both begin and end with, reversed. It is as many edits apart."""
+    rest = lambda p: F.struct(F.reverse(F.substring(p["a"], p["n"] + 1, p["a_n"])).alias("a"), F.reverse(F.substring(p["b"], p["n"] + 1, p["b_n"])).alias("b"))
+    cut = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.length(p["a"]).alias("a_n"), F.length(p["b"]).alias("b_n"), _common(p["a"], p["b"]).alias("n"))
+    tail = lambda p: then(F.substring(p["a"], p["n"] + 1, p["a_n"]), F.substring(p["b"], p["n"] + 1, p["b_n"]))
+    return bound(bound(bound(bound(F.struct(a.alias("a"), b.alias("b")), cut), rest), cut), tail)
+
+
+def _by_parts(a: Column, b: Column, most: Column) -> Column:
+    """True only where a and b are ``most`` edits apart or fewer: their eighths, one by one, take no more together.
+
+    The parts of the first half are counted from the start, those of the second from the end, and the last is what is left between.
+    """
+    size = F.floor(F.least(F.length(a), F.length(b)) / 8).cast("int")
+    head = lambda c, i: F.substring(c, i * size + 1, size)
+    tail = lambda c, i: F.substring(c, F.length(c) - (i - 3) * size + 1, size)
+    middle = lambda c, _: F.substring(c, 4 * size + 1, F.length(c) - 7 * size)
+    part = lambda c, i: F.when(i < 4, head(c, i)).when(i < 7, tail(c, i)).otherwise(middle(c, i))
+
+    def left(edits: Column, i: Column) -> Column:
+        return F.when(edits < 0, edits).otherwise(bound(F.call_function("levenshtein", part(a, i), part(b, i), edits), lambda k: F.when(k < 0, -1).otherwise(edits - k)))
+
+    return F.aggregate(F.array(*map(F.lit, range(8))), most, left) >= 0
+
+
 def similar(x: str, y: str) -> Column:
     """The edits turning line x into y are at most 1 - SIMILAR of the longer one's letters; over LONG letters, words count as letters."""
 
     def within(a: Column, b: Column) -> Column:
         most = F.floor((1 - SIMILAR) * F.greatest(F.length(a), F.length(b)) + 1e-9).cast("int")
-        # the work grows with the edits allowed: few are tried first, and all of them only where those don't do
-        tried = [F.call_function("levenshtein", a, b, F.floor(most / k).cast("int")) >= 0 for k in (8, 3)]
-        return tried[0] | tried[1] | (F.call_function("levenshtein", a, b, most) >= 0)
 
-    return F.when(F.greatest(F.length(x), F.length(y)) <= LONG, within(F.col(x), F.col(y))).otherwise(within(_letters(x), _letters(y)))
+        def judged(p: Column) -> Column:
+            a, b, most = p["a"], p["b"], p["most"]
+            # the work grows with the square of the length: what many pairs don't need comes last
+            return (F.greatest(F.length(a), F.length(b)) <= most) | _by_parts(a, b, most) | (F.call_function("levenshtein", a, b, most) >= 0)
+
+        return _middles(a, b, lambda a, b: bound(F.struct(a.alias("a"), b.alias("b"), most.alias("most")), judged))
+
+    return F.when(F.greatest(F.length(x), F.length(y)) <= LONG, within(F.col(x), F.col(y))).otherwise(bound(F.struct(_letters(x).alias("a"), _letters(y).alias("b")), lambda p: within(p["a"], p["b"])))
+
+
+def crossed(family: DataFrame) -> DataFrame:
+    """Links (a, b) from the lines outside a family's largest component to all others of (family, line, look, component, norm, times).
+
+    Lines whose lengths allow a link are of one band or of neighbours. Those of a family are dealt over squares of about SIDE by
+    SIDE pairs, and pairs are compared where they meet, so only links are rows. Of large families the distance from the main
+    component's most frequent line is known for all lines: where two such distances differ by more than the edits allowed, so do the
+    lines. Words that stand for letters, over LONG, have no such distance.
+    """
+    inner = F.col("component") == F.col("family")
+    head = F.max(F.when(inner, F.struct("times", -F.col("line"), "norm")))["norm"].alias("middle")
+    sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.count_if(~inner).alias("outer"), head)
+    large = (F.col("outer") * (F.col("n") - F.col("outer")) > GAIN * F.col("n")) & (F.greatest(F.length("norm"), F.length("middle")) <= LONG)
+    far = F.when(large, _middles(F.col("norm"), F.col("middle"), lambda a, b: F.levenshtein(a, b)))
+    band = F.floor(F.log(F.col("look.n")) / -math.log(SIMILAR))
+    sides = [F.ceil(F.col(c) / SIDE) for c in ("outer", "n")]
+    rows = family.join(sizes, "family").select("family", "line", "component", "look", "norm", band.alias("band"), far.alias("far"), *[F.greatest(k, F.lit(1)).alias(c) for k, c in zip(sides, ("us", "vs"), strict=True)])
+    own = lambda k: F.pmod(F.xxhash64("line"), F.col(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    given = lambda c, text: [F.col(k).alias(f"{k}_{c}") for k in ("line", "component", "look", "far")] + [F.col("norm").alias(text)]
+    keys = ["family", "band", "i", "j"]
+    rest = rows.where(~inner).select("family", "band", own("us").alias("i"), every("vs").alias("j"), *given("u", "x"))
+    whole = rows.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).select("family", "band", every("us").alias("i"), own("vs").alias("j"), *given("v", "y"))
+    # few bytes but much work: more tasks than the bytes alone would get
+    rest, whole = (side.repartition(partitions(family.sparkSession), *keys) for side in (rest, whole))
+    once = (F.col("component_v") == F.col("family")) | (F.col("line_u") < F.col("line_v"))
+    most = F.floor((1 - SIMILAR) * F.greatest("look_u.n", "look_v.n") + 1e-9)
+    may = once & (F.col("component_u") != F.col("component_v")) & _near("look_u", "look_v") & F.coalesce(F.abs(F.col("far_u") - F.col("far_v")) <= most, F.lit(True))
+    met = rest.hint("merge").join(whole, keys).where(may & similar("x", "y"))
+    return met.select(F.least("line_u", "line_v").alias("a"), F.greatest("line_u", "line_v").alias("b"))
 
 
 def line_links(lines: DataFrame) -> DataFrame:
@@ -198,7 +271,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     Lines with a common key are a bucket. Buckets of up to HOT lines are compared pair by pair. Fuller ones are split by
     length, which separates no lines that can be links; in cells that are still full all lines are compared with the one
     that occurs most, and what stays outside the cell's largest component with all of the cell. Cells with one main
-    component are one family, so a pair is compared once.
+    component are one family, so a pair is compared once (see ``crossed``).
     """
     hashed = stored(sim_hashes(lines))
     keys = hashed.select("line", "key")
@@ -246,14 +319,8 @@ def line_links(lines: DataFrame) -> DataFrame:
     placed = large.join(found, F.col("line") == F.col("node"), "left").select("cell", "line", "look", F.coalesce("component", "line").alias("component"))
     parts = placed.groupBy("cell", "component").agg(F.count("*").alias("size"))
     main = parts.groupBy("cell").agg(F.max(F.struct("size", "component"))["component"].alias("family"), F.count("*").alias("parts")).where("parts > 1").select("cell", "family")
-    family = stored(placed.join(main, "cell").select("family", "line", "look", "component").distinct())
-    rest = family.where("component <> family").select("family", F.col("line").alias("u"), F.col("component").alias("cu"), F.col("look").alias("su"))
-    whole = family.select("family", F.col("line").alias("v"), F.col("component").alias("cv"), F.col("look").alias("sv"))
-    # lines whose lengths allow a link are of one band or of neighbours
-    of = lambda look: F.floor(F.log(F.col(f"{look}.n")) / -math.log(SIMILAR))
-    rest, whole = rest.withColumn("band", of("su")), whole.withColumn("band", F.explode(F.array(*[of("sv") + k for k in (-1, 0, 1)])))
-    crossed = rest.join(whole, ["family", "band"]).where((F.col("cu") != F.col("cv")) & _near("su", "sv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    links = links.union(confirmed(crossed.distinct()))
+    family = stored(placed.join(main, "cell").select("family", "line", "look", "component").distinct().join(seen, "line"))
+    links = links.union(stored(crossed(family)))
     release(hashed, met, members, pairs, wanted, looks, seen)
     return links
 
@@ -288,6 +355,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     of over LONG characters are compared word by word. Other columns may have any names. An empty table gives no rows.
     """
     gone = repeated_lines(docs)
+    # few rows: a broadcast, and no text is shuffled
+    gone = gone if gone.limit(FEWER + 1).count() > FEWER else F.broadcast(gone)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("at"))
     joined = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("tie")), "left")
     text = F.col("row.text")

@@ -289,6 +289,40 @@ def test_similar_is_the_edit_distance(spark):
     assert all(r.got == r.want for r in got) and 30 < sum(r.want for r in got) < 300
 
 
+def test_similar_of_texts_that_begin_and_end_alike(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("ab", k=rng.randint(1, 60))) for _ in range(150)] + ["".join(rng.choices("abcdefg ß€😀", k=rng.randint(300, 900))) for _ in range(60)] + ["a" * 40, "ab" * 30, "a" * 39 + "b"]
+    pairs = [(x, with_edits(rng, x, rng.randrange(2 + len(x) // 8))) for x in base] + [(x, x[: len(x) // 2] + x[len(x) // 2 + 1 :]) for x in base] + [(x, x) for x in base] + [("", "a"), ("", "")]
+    most = F.expr("cast(floor(0.1 * greatest(length(x), length(y)) + 1e-9) as int)")
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.similar("x", "y").alias("got"), (F.levenshtein("x", "y") <= most).alias("want")).collect()
+    assert [r for r in got if r.got != r.want] == [] and 100 < sum(r.want for r in got) < len(got) - 50
+
+
+@pytest.mark.parametrize("gain", [0, 1000])
+def test_a_family_makes_rows_of_links_alone(spark, monkeypatch, gain):
+    """Lines outside the largest component are compared with all others where they meet; before, every pair that letters allow became a row."""
+    monkeypatch.setattr(line_dedup, "SIDE", 5)
+    monkeypatch.setattr(line_dedup, "GAIN", gain)
+    rng = random.Random(12)
+    base = " ".join("".join(rng.choices("etaonirshdul", k=rng.randint(2, 8))) for _ in range(50))
+    norm = [base] + [with_edits(rng, base, rng.choice([3, 10, 14, 22, 40])) for _ in range(59)]
+    part = [1 if i < 40 else 1 + i // 2 for i in range(60)]
+    rows = spark.createDataFrame([(1, i + 1, part[i], x, 1) for i, x in enumerate(norm)], "family long, line long, component long, norm string, times long")
+    none = [F.lit(None).cast("long").alias(f"sim{m}") for m in (line_dedup.FEW, line_dedup.MORE)]
+    look = F.struct(F.length("norm").alias("n"), *none, *[f"bag{k}" for k in range(line_dedup.BAGS)]).alias("look")
+    got = [tuple(r) for r in line_dedup.crossed(line_dedup.bags(rows).select("family", "line", look, "component", "norm", "times")).collect()]
+    apart = [(i + 1, j + 1) for j in range(60) for i in range(j) if part[i] != part[j]]
+    want = [p for p in apart if edits(norm[p[0] - 1], norm[p[1] - 1]) <= int(0.1 * max(len(norm[i - 1]) for i in p) + 1e-9)]
+    assert sorted(got) == sorted(want) and 20 < len(want) < len(apart) * 2 / 3
+
+
+def test_lines_go_alike_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    docs = frame(spark, [(i, f"line number {i % 7} that others have too\nown {i}") for i in range(40)] + [(None, "line number 3 that others have too")])
+    few = sorted(map(repr, line_dedup.line_dedup(docs).collect()))
+    monkeypatch.setattr(line_dedup, "FEWER", 0)
+    assert sorted(map(repr, line_dedup.line_dedup(docs).collect())) == few
+
+
 def test_recall_on_all_pairs(spark):
     """All pairs of lines of edit similarity 0.9 in a table, found by brute force; pairs are passed over only where counts of letter pairs prove them apart."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
