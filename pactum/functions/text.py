@@ -102,7 +102,8 @@ def extraction_score(text: Column, terms: list[str], wanted: str = "가-힣", al
     known = F.least(F.size(term_hits(text, terms)) / F.lit(8.0), F.lit(1.0))
     base = 0.45 * letter_ratio(text, wanted, all_letters) + 0.25 * known + 0.30 * order_score(text)
     penalty = F.greatest(F.lit(0.0), 1 - 20 * codes / F.greatest(F.length(text), F.lit(1)))
-    return F.bround(base * penalty * F.when(letters < 50, 0.3).otherwise(1.0), 4)
+    # halves are told in doubles, as SQL's round_even does; bround goes by the shortest decimal that spells the double
+    return F.rint(base * penalty * F.when(letters < 50, 0.3).otherwise(1.0) * 10_000.0) / 10_000.0
 
 
 def looks_broken(text: Column, terms: list[str], wanted: str = "가-힣", all_letters: str = "가-힣a-zA-Z一-鿿") -> Column:

@@ -38,3 +38,14 @@ def test_query(spark, duck, name):
 
 def test_flagship_has_rows(spark):
     assert catalog.QUERIES[catalog.FLAGSHIP](spark, SF).count() > 0
+
+
+def test_best_engine_rounds_halves_as_sql(spark, tmp_path):
+    # the fifth digit of the score is a 5 in every other row, but for the last bit of the double in seven of them
+    texts = [("é" * (200 - k) + "a" * k,) for k in range(201)]
+    docs = spark.createDataFrame(texts, "text string").selectExpr("monotonically_increasing_id() AS doc_id", "text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["best_engine"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalog.ORACLE_SQL["best_engine"]).fetchall())
