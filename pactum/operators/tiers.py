@@ -85,6 +85,11 @@ def hit_rows(rows: DataFrame, whole: str | None = None) -> DataFrame:
     return out.select(*FINDING)
 
 
+def clause_hits(rows: DataFrame) -> DataFrame:
+    """Annotated clauses with a row for each of their hits, its fields beside the clause; a clause without any is one row with a null rule."""
+    return rows.select(*(c for c in rows.columns if c != "hits"), F.explode_outer("hits").alias("h")).select("*", "h.*").drop("h")
+
+
 def meta_of(rows: DataFrame) -> DataFrame:
     """``report.meta`` of annotated clauses, by one aggregate."""
     count = lambda field, value: F.sum(F.size(F.filter("hits", lambda h: h[field] == value)))

@@ -184,9 +184,8 @@ def numbered_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole review of each contract with reasons, laws, quotes and suggestions, as length and hash; nations stand in for statutes."""
-    clauses = _clauses(spark, sf_dir)
-    found = rules.with_quotes(rules.worded(tiers.hit_rows(tiers.annotated(clauses))), numbered_laws(spark, sf_dir))
-    return report.opinion(clauses, found).select("doc_id", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("sha256"))
+    found = rules.with_quotes(rules.worded(tiers.clause_hits(tiers.annotated(_clauses(spark, sf_dir)))), numbered_laws(spark, sf_dir))
+    return report.opinion_of(found).select("doc_id", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("sha256"))
 
 
 def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
