@@ -9,6 +9,9 @@ A list is walked in stretches, STRETCHES of its length each, which are Spark job
 sorted by their bounds and packed, for each cluster, with what lies below the bound that all members have done with left out.
 Packs meet groups of GROUP members, and a pair of them is one product of matrices, in steps of the list with those members
 that still walk. Anchors are walked twice: for their positives, then for the negatives, whose scores depend on these.
+
+No join is left to the size that Spark takes its sides for: packs hold a candidate up to once for each cluster, and groups their
+anchors once for each deal, both of which it takes for the few MB of compressed files that they come from. All are merged.
 """
 
 from __future__ import annotations
@@ -203,7 +206,7 @@ def walk(rows: DataFrame, clusters: Clusters, d: int, anchors: DataFrame, search
         state = searches.where("low <= high").withColumn("least", F.lit(NONE))
         if found is not None:
             kth = found.where(F.col("rank") == k).select("item", "search", F.col("score").alias("kth"))
-            state = state.join(kth, ["item", "search"], "left").withColumn("least", F.coalesce("kth", "least")).drop("kth")
+            state = state.join(kth.hint("merge"), ["item", "search"], "left").withColumn("least", F.coalesce("kth", "least")).drop("kth")
         needs, top = F.greatest("low", "least"), F.get(F.array(*map(F.lit, high.tolist())), F.col("cluster")) * F.col("norm")
         state = state.where(needs <= top + F.abs(top) * 1e-9 + 1e-6)  # certified: the others have done
         # of each cluster, its anchors and the bound that all of them have done with
@@ -238,7 +241,7 @@ def _groups(anchors: DataFrame, state: DataFrame, sizes: list[int]) -> DataFrame
     """(cluster, deal, members): groups of about GROUP anchors of a cluster with their searches, once for each deal."""
     parts = F.get(F.array(*[F.lit(max(1, -(-n // GROUP))) for n in sizes]), F.col("cluster"))
     open_searches = state.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("search", "low", "high", "least"))).alias("searches"))
-    one = anchors.join(open_searches, "item")
+    one = anchors.join(open_searches.hint("merge"), "item")
     members = F.collect_list(F.struct("item", "id", "label", "norm", "q", "searches"))
     grouped = one.groupBy("cluster", F.pmod(F.col("item"), parts).alias("part")).agg(members.alias("members"))
     return grouped.select("cluster", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"), "members")
@@ -267,7 +270,7 @@ def _meet(packed: DataFrame, groups: DataFrame, d: int, k: int, same: bool) -> D
                 a, s, ids, scores = step(anchors, cand)
                 yield pa.RecordBatch.from_arrays([pa.array(anchors["items"][a]), pa.array(anchors["search"][a, s].astype(np.int32)), pa.array(ids), pa.array(scores)], names=["item", "search", "id", "score"])
 
-    return packed.join(groups, ["cluster", "deal"]).drop("cluster", "deal", "n").mapInArrow(run, "item long, search int, id long, score long")
+    return packed.hint("merge").join(groups, ["cluster", "deal"]).drop("cluster", "deal", "n").mapInArrow(run, "item long, search int, id long, score long")
 
 
 def _assigned(anchors: DataFrame, clusters: Clusters, d: int) -> DataFrame:
@@ -301,8 +304,8 @@ def mine(vectors: DataFrame, every: int = 50, id_col: str = "vec_id", vector_col
     positives = walk(rows, clusters, d, anchors, own.select("*", F.lit(0).alias("search"), F.lit(NONE + 1).alias("low"), F.lit(-NONE).alias("high")), POSITIVES, same=True)
     # 50 p <= 100 n <= 95 p in whole numbers: p / 2 rounded up, 19 / 20 p rounded down
     half, most = F.expr("(score + pmod(score, 2)) div 2"), F.expr("19 * ((score - pmod(score, 20)) div 20) + (19 * pmod(score, 20)) div 20")
-    searches = own.join(positives, "item").select("item", "norm", "cluster", F.col("rank").alias("search"), half.alias("low"), most.alias("high"))
+    searches = own.join(positives.hint("merge"), "item").select("item", "norm", "cluster", F.col("rank").alias("search"), half.alias("low"), most.alias("high"))
     negatives = walk(rows, clusters, d, anchors, searches, NEGATIVES, same=False)
-    named = positives.join(anchors.select("item", F.col("id").alias("anchor_id")), "item").select("item", "anchor_id", F.col("id").alias("positive_id"), F.col("rank").alias("search"), F.col("score").alias("positive_score"))
+    named = positives.hint("merge").join(anchors.select("item", F.col("id").alias("anchor_id")), "item").select("item", "anchor_id", F.col("id").alias("positive_id"), F.col("rank").alias("search"), F.col("score").alias("positive_score"))
     found = negatives.select("item", "search", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
-    return named.join(found, ["item", "search"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return named.hint("merge").join(found, ["item", "search"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

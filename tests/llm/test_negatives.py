@@ -100,3 +100,16 @@ def test_large_components_are_exact(spark):
     rng = random.Random(6)
     rows = [(i, [rng.uniform(-60000, 60000) for _ in range(4)], rng.randrange(3)) for i in range(120)]
     assert mined(spark, rows) == brute(rows)
+
+
+def test_packs_and_groups_are_not_broadcast(spark):
+    rows = hard_negatives.items(spark.range(400).selectExpr("id AS vec_id", "id % 3 AS label", "transform(sequence(1, 8), x -> sin(id * x)) AS embedding"))
+    d, chosen = 8, rows.where("id % 50 = 0")
+    clusters = hard_negatives.fit_clusters(hard_negatives.sampled(chosen, d), 8)
+    anchors = hard_negatives._assigned(chosen, clusters, d)
+    state = anchors.selectExpr("item", "norm", "cluster", "0 AS search", "-1000000L AS low", "1000000L AS high", "-1000000L AS least")
+    groups = hard_negatives._groups(anchors, state, [8] * clusters.n)
+    far = np.full(clusters.n, np.inf)
+    met = hard_negatives._meet(hard_negatives.packs(rows, clusters, d, -far, far), groups, d, 5, True)
+    assert met.count() > 0
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
