@@ -28,18 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pactum-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: int) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: lineage ends, and lost executors cost nothing.
 
     The shuffle files of the query go when it has ended. The table stays until ``release``; what a result still reads when it
-    is returned is left to whoever clears spark.checkpoint.dir.
+    is returned is left to whoever clears spark.checkpoint.dir. ``options``: of the Parquet writer.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)

@@ -32,6 +32,9 @@ BLOCK = 4 << 20
 SLICE = 512 << 10
 #: Rows of the pair counts that a task hands on at once.
 ROWS = 200_000
+#: A block's row takes about 10 MB. Parquet looks at what it holds every 100 rows only, and Spark reads a row group at once: a task
+#: with 100 blocks would hold a GB, writing as well as reading. Row groups end at 16 MB, looked at after each row.
+WIDE = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 @functools.cache
@@ -188,13 +191,13 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "docs", *DOC[1:], "pairs", "counts", "links"])
                 seq += 1
 
-    return stored(docs.select(id_col, text_col).mapInArrow(run, BLOCK_SCHEMA.format(id=kind.simpleString())))
+    return stored(docs.select(id_col, text_col).mapInArrow(run, BLOCK_SCHEMA.format(id=kind.simpleString())), **WIDE)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, pairs, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            pairs, counts = np.frombuffer(pairs, np.int64), np.frombuffer(counts, np.int64)
+        for r in range(batch.num_rows):
+            block, pairs, counts = batch.column(0)[r].as_py(), *(np.frombuffer(batch.column(k)[r].as_buffer(), np.int64) for k in (1, 2))
             for i in range(0, len(pairs), ROWS):
                 some = pairs[i : i + ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(np.arange(i, i + len(some), dtype=np.int32)), pa.array((some >> 32).astype(np.int32)),

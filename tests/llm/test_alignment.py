@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import functools
+import glob
 import hashlib
 import random
 import tracemalloc
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -155,3 +157,12 @@ def test_a_block_takes_memory_by_its_slices(monkeypatch):
     monkeypatch.setattr(token_alignment, "SLICE", size + 1)
     whole = aligner.block(texts)
     assert cut.keys() == whole.keys() and all(np.array_equal(cut[k], whole[k]) for k in whole)
+
+
+def test_wide_rows_end_row_groups_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(token_alignment, "BLOCK", 4 << 10)
+    monkeypatch.setitem(token_alignment.WIDE, "parquet.block.size", 32 << 10)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j}x" for j in range(700))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    blocks = token_alignment.aligned_blocks(docs, A, B)
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in glob.glob(f"{blocks._stored_at.removeprefix('file:')}/*.parquet")]
+    assert blocks.count() > 20 and max(groups) > 5
